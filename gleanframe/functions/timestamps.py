@@ -27,7 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SEP = "\u0001"
-_WS = r"[\s\u0085\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: The white space characters of Unicode, zero-width space and byte-order mark.
+BLANKS = (
+    "\t\n\u000b\f\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 _FULL = "０１２３４５６７８９：／．－＋，\u3000\u2212" + _SEP
 _HALF = "0123456789:/.-+, -?"
 
@@ -111,7 +115,7 @@ def known_zones() -> tuple[str, ...]:
 
 def trim_space(c: Column) -> Column:
     """``c`` without outer white space of any kind."""
-    return F.regexp_replace(c, f"^{_WS}+|{_WS}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def _trimmed(c: Column) -> Column:
@@ -143,7 +147,10 @@ def with_instant(df: DataFrame, text: str, zone: str | None, out: str) -> DataFr
     c = {k: f"__{k}_{tag}" for k in ("p", *_FIELDS, "off", "zone", "us", "ok")}
     keep = [F.col(f"`{x}`") for x in df.columns]
     col = lambda k: F.col(c[k])
-    raw = F.split(F.regexp_replace(_trimmed(F.col(f"`{text}`").cast("string")), _PATTERN, _REPLACEMENT), _SEP)
+    # always true, but a projection that reads the partition's number is never copied into the
+    # filters above it, so the match runs once a row
+    once = F.when(F.spark_partition_id() >= 0, F.col(f"`{text}`").cast("string"))
+    raw = F.split(F.regexp_replace(_trimmed(once), _PATTERN, _REPLACEMENT), _SEP)
     df = df.select(*keep, raw.alias(c["p"]))
     df = df.select(*keep, F.when(F.size(col("p")) == len(_FIELDS) + 1, col("p")).alias(c["p"]))
     at = {k: F.get(col("p"), F.lit(i + 1)) for i, k in enumerate(_FIELDS)}
