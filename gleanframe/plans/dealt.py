@@ -100,7 +100,7 @@ def p4_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trailing 7- and 30-day totals, averages and maxima per runner and calendar day.
 
     Of several rows for one runner and day the one that arrived last holds (ties: greatest
-    counters). Averages are per calendar day of the window since the runner's first day. Costs are
+    counters). A window without any known counter has a maximum of 0. Averages are per calendar day of the window since the runner's first day. Costs are
     added as whole millionths, so totals do not depend on the order of the rows.
     """
     raw = table(spark, sf_dir, "run_stats").where("date is not null")
@@ -119,7 +119,7 @@ def p4_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
         cols += [
             F.col(f"ai_calls_{w}"),
             (F.col(f"ai_calls_{w}").cast("double") / F.col(f"days_{w}")).alias(f"ai_calls_avg_{w}"),
-            F.col(f"ai_calls_max_{w}"),
+            F.coalesce(f"ai_calls_max_{w}", F.lit(0)).alias(f"ai_calls_max_{w}"),
             cost.alias(f"cost_rmb_{w}"),
             (cost / F.col(f"days_{w}")).alias(f"cost_rmb_avg_{w}"),
         ]
@@ -146,9 +146,9 @@ WITH ranked AS (
          b AS (PARTITION BY runner ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)
 )
 SELECT runner, date,
-  CAST(a7 AS BIGINT) AS ai_calls_7, CAST(a7 AS DOUBLE) / d7 AS ai_calls_avg_7, m7 AS ai_calls_max_7,
+  CAST(a7 AS BIGINT) AS ai_calls_7, CAST(a7 AS DOUBLE) / d7 AS ai_calls_avg_7, coalesce(m7, 0) AS ai_calls_max_7,
   CAST(c7 AS DOUBLE) / 1000000 AS cost_rmb_7, CAST(c7 AS DOUBLE) / 1000000 / d7 AS cost_rmb_avg_7,
-  CAST(a30 AS BIGINT) AS ai_calls_30, CAST(a30 AS DOUBLE) / d30 AS ai_calls_avg_30, m30 AS ai_calls_max_30,
+  CAST(a30 AS BIGINT) AS ai_calls_30, CAST(a30 AS DOUBLE) / d30 AS ai_calls_avg_30, coalesce(m30, 0) AS ai_calls_max_30,
   CAST(c30 AS DOUBLE) / 1000000 AS cost_rmb_30, CAST(c30 AS DOUBLE) / 1000000 / d30 AS cost_rmb_avg_30
 FROM w
 """
