@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gleanframe.llm import dedup_queries
+from gleanframe.llm import dedup_queries, quantile_queries
 
-_PARTS = (dedup_queries,)
+_PARTS = (dedup_queries, quantile_queries)
 
 
 def queries() -> dict:
