@@ -168,7 +168,8 @@ def mix(docs: DataFrame, targets: DataFrame, block: int = BLOCK, seed: int = 0)
     repeats = {s: int(setting[s]["max_repeats"]) for s in have}
     order = slots(spark, blocks, share, repeats, seed)
     spans = block_spans(named, block)
-    return order.join(spans, ["source", "block"]).select("shard", "slot", "at", "source", "epoch", "block", "doc_id", "from_token", "to_token")
+    # both sides grow with the data; the slots' size isn't known to the planner, so no broadcast
+    return order.hint("merge").join(spans.hint("merge"), ["source", "block"]).select("shard", "slot", "at", "source", "epoch", "block", "doc_id", "from_token", "to_token")
 
 
 def reached(mixed: DataFrame, docs: DataFrame, targets: DataFrame) -> DataFrame:

@@ -29,8 +29,26 @@ def _post_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts.select("tweet_id", F.hour(at).alias("posting_hour"), F.to_date(at).alias("posting_day"))
 
 
+def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of impressions per snapshot and posting hour, and per snapshot and posting day (UTC+8).
+
+    ``period_kind`` is ``hour``, ``day`` or ``all`` (the whole snapshot, also posts without a posting time).
+    """
+    rows = _readings(spark, sf_dir).select("snapshot_no", real_key(F.col("tweet_id")).alias("tweet_id"), "impressions")
+    # one summary per snapshot, post and input partition before the join, so a pinned post is a few rows
+    by_post = Q.summarise(rows, ["snapshot_no", "tweet_id"], F.col("impressions"))
+    placed = by_post.join(_post_times(spark, sf_dir), "tweet_id", "left")
+    kinds = F.array(
+        F.struct(F.lit("all").alias("period_kind"), F.lit("all").alias("period")),
+        F.struct(F.lit("hour").alias("period_kind"), F.lpad(F.col("posting_hour").cast("string"), 2, "0").alias("period")),
+        F.struct(F.lit("day").alias("period_kind"), F.col("posting_day").cast("string").alias("period")),
+    )
+    placed = placed.select("snapshot_no", "n", "v", "lo", "hi", F.inline(F.filter(kinds, lambda k: k["period"].isNotNull())))
+    keys = ["snapshot_no", "period_kind", "period"]
+    return Q.percentiles(Q.merge(Q.regroup(placed, keys), keys), keys, SHARES)
+
+
 def _by_post(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # one summary per post and input partition before the join, so a pinned post is a few rows
     rows = _readings(spark, sf_dir).select(real_key(F.col("tweet_id")).alias("tweet_id"), "impressions").where("tweet_id is not null")
     return Q.summarise(rows, ["tweet_id"], F.col("impressions")).join(_post_times(spark, sf_dir), "tweet_id")
 
@@ -60,6 +78,7 @@ def p6_all_from_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "p6_percentiles": p6_percentiles,
         "p6_by_posting_hour": p6_by_posting_hour,
         "p6_by_posting_day": p6_by_posting_day,
         "p6_by_snapshot": p6_by_snapshot,

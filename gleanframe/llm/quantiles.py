@@ -109,7 +109,7 @@ class Summaries:
 def _codes(batch: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Group number of each row (nulls form groups) and a row of each group."""
     frame = batch.select(keys).to_pandas()
-    code = frame.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+    code = frame.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()  # in order of appearance
     row = np.empty(code.max() + 1, np.int64)
     row[code[::-1]] = np.arange(len(code))[::-1]
     return code, row
@@ -182,18 +182,34 @@ def regroup(df: DataFrame, keys: list[str], eps: float = EPS) -> DataFrame:
 
 
 def merge(df: DataFrame, keys: list[str], eps: float = EPS, by_slot: bool = True) -> DataFrame:
-    """One summary per group from any summaries; first inside slots, then over the slots."""
-    fields, part = _key_fields(df, keys), LEVELS[1] if by_slot else LEVELS[2]
-
-    def run(t: pa.Table) -> pa.Table:
-        s = Summaries.from_arrow(t).merged(np.zeros(t.num_rows, np.int64)).compressed(eps * part)
-        slot = t.column("slot")[0].as_py() if by_slot else None
-        return pa.Table.from_batches([_out(t, keys, np.zeros(1, np.int64), s, slot)])
-
-    if by_slot:
-        df = df.groupBy(*keys, "slot").applyInArrow(run, f"{fields}, slot int, {SUMMARY}")
-        return merge(df, keys, eps, by_slot=False)
-    return df.groupBy(*keys).applyInArrow(run, f"{fields}, {SUMMARY}")
+    """One summary per group from any summaries; first inside slots, then over the slots.
+
+    Groups are streamed in key order, so a task merges all its groups in a few vector steps and holds
+    an Arrow batch and the summaries of one group.
+    """
+    part, by = LEVELS[1] if by_slot else LEVELS[2], [*keys, "slot"] if by_slot else keys
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            code, _ = _codes(held, by)
+            if code[-1] > 0:  # the last group may go on in the next batch
+                cut = int(np.searchsorted(code, code[-1]))
+                yield fold(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield fold(held)
+
+    def fold(t: pa.Table) -> pa.RecordBatch:
+        code, row = _codes(t, by)
+        return _out(t, by, row, Summaries.from_arrow(t).merged(code).compressed(eps * part), None)
+
+    fields = _key_fields(df, keys) + (", slot int" if by_slot else "")
+    rows = df.repartition(*[F.col(k) for k in by]).sortWithinPartitions(*by)
+    out = rows.select(*by, "n", "v", "lo", "hi").mapInArrow(run, f"{fields}, {SUMMARY}")
+    return merge(out, keys, eps, by_slot=False) if by_slot else out
 
 
 def percentiles(df: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:

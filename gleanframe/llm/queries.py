@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gleanframe.llm import dedup_queries, mixing_queries, packing_queries, quantile_queries
+from gleanframe.llm import dedup_queries, mixing_queries, packing_queries, quantile_queries, subject_queries
 
-_PARTS = (dedup_queries, quantile_queries, packing_queries, mixing_queries)
+_PARTS = (dedup_queries, quantile_queries, packing_queries, mixing_queries, subject_queries)
 
 
 def queries() -> dict:
