@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gleanframe.plans import dealt
+from gleanframe.plans import catalog, dealt
 
-_PARTS = (dealt,)
+_PARTS = (dealt, catalog)
 
 
 def queries() -> dict:
