@@ -138,15 +138,17 @@ class SnapshotStore:
         last, name = self.current(), f"{len(v) and int(v[-1].split('-')[0]) + 1:09d}-{uuid.uuid4().hex[:8]}"
         here = f"{self.path}/{name}"
         rows = snapshot.select(*self.keys, *self.values)
-        index_of(rows, self.keys, self.values, self.buckets).write.parquet(f"{here}/index", partitionBy="bucket")
+        entries = index_of(rows, self.keys, self.values, self.buckets)
+        entries.write.parquet(f"{here}/index", partitionBy="bucket")
+        read_index = self.spark.read.schema(entries.schema)  # an empty snapshot leaves no file to infer it from
         rows.write.parquet(f"{here}/rows")
-        index = self.spark.read.parquet(f"{here}/index")
+        index = read_index.parquet(f"{here}/index")
         new = self.spark.read.schema(rows.schema).parquet(f"{here}/rows")
         if last is None:
             changes = index.select(*self.keys, F.lit(ADDED).alias("change_kind")).limit(0)
             old = new.limit(0)
         else:
-            changes = probe(self.spark.read.parquet(f"{last}/index"), index, self.keys)
+            changes = probe(read_index.parquet(f"{last}/index"), index, self.keys)
             old = self.spark.read.schema(rows.schema).parquet(f"{last}/rows")
         on = lambda t: [F.col(f"c.{k}").eqNullSafe(F.col(f"{t}.{k}")) for k in self.keys]
         both = changes.alias("c").join(old.alias("o"), on("o"), "left").join(new.alias("n"), on("n"), "left")

@@ -267,17 +267,19 @@ def consensus_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.005), 2) AS low, round(quantile_cont(l_extendedprice, 0.5), 2) AS mid,
-  round(quantile_cont(l_extendedprice, 0.995), 2) AS high FROM lineitem GROUP BY 1"""
+    """SELECT l_returnflag, quantile_disc(l_extendedprice, 0.005) AS low, median(CAST(round(l_extendedprice * 100) AS BIGINT)) AS mid_cents,
+  quantile_disc(l_extendedprice, 0.995) AS high FROM lineitem GROUP BY 1"""
 )
 def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", [0.005, 0.5, 0.995]).alias("p"))
-    return by.select("l_returnflag", *[F.round(F.get("p", F.lit(i)), 2).alias(n) for i, n in enumerate(("low", "mid", "high"))])
+    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY l_extendedprice)")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    by = table(spark, sf_dir, "lineitem").groupBy("l_returnflag")
+    return by.agg(at(0.005).alias("low"), F.median(cents).alias("mid_cents"), at(0.995).alias("high"))
 
 
 # ---- sequences
 @_query(
-    """SELECT event_id, round(sum(value) OVER w, 6) AS so_far, CASE WHEN row_number() OVER m <= 100 THEN 0 ELSE 0.02 END AS fee, (row_number() OVER w - 1) % 2 = 0 AS tagged
+    """SELECT event_id, round(sum(value) OVER w, 6) AS so_far, CASE WHEN row_number() OVER m <= 100 THEN 0.0 ELSE 0.02 END::DOUBLE AS fee, (row_number() OVER w - 1) % 2 = 0 AS tagged
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), m AS (PARTITION BY user_id, date_trunc('month', ts) ORDER BY ts, event_id)"""
 )
 def running_total_quota_alternate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gleanframe.plans import catalog, dealt
+from gleanframe.plans import catalog, dealt, streams
 
-_PARTS = (dealt, catalog)
+_PARTS = (dealt, catalog, streams)
 
 
 def queries() -> dict:

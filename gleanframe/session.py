@@ -60,3 +60,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per session.
+
+    Functions of the package reach the workers by name; where the executors do not have the
+    repository on their path, Spark's own file server brings it.
+    """
+    if spark.conf.get("spark.gleanframe.shipped", "no") == spark.sparkContext.applicationId:
+        return
+    import shutil
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='gleanframe-ship-')}/gleanframe", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("spark.gleanframe.shipped", spark.sparkContext.applicationId)

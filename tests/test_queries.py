@@ -1,0 +1,48 @@
+"""Every query with SQL against DuckDB on the smallest tables; the others must run and keep their columns."""
+
+import glob
+import math
+import os
+
+import duckdb
+import pytest
+
+from gleanframe.plans import registry
+from gleanframe.session import shared_dir
+
+TINY = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    c.execute("SET TimeZone = 'UTC'")
+    for p in glob.glob(f"{TINY}/*.parquet"):
+        c.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM read_parquet('{p}')")
+    return c
+
+
+def plain(v):
+    if isinstance(v, float):
+        return "nan" if math.isnan(v) else repr(v)
+    if hasattr(v, "tzinfo"):
+        v = v.replace(tzinfo=None)
+    return str(v)
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_query(spark, con, name):
+    df = registry.queries()[name](spark, TINY)
+    cols = sorted(df.columns)
+    got = sorted(tuple(plain(r[c]) for c in cols) for r in df.collect())
+    sql = registry.oracle_sql().get(name)
+    if sql is None:
+        return
+    rel = con.sql(sql)
+    at = sorted(range(len(rel.columns)), key=lambda i: rel.columns[i])
+    assert [rel.columns[i] for i in at] == cols
+    assert got == sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
