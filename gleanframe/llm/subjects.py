@@ -45,6 +45,7 @@ DIM = 16
 PARTS = 4
 RATE = 0.4
 BATCH = 32
+ROUND_ROWS = 100_000
 #: Bounds of the sample that lends labels to the fit: documents, and sentences of each.
 SAMPLE_DOCS, SAMPLE_SENTENCES = 10_000, 200
 SHARE = 1 / 6
@@ -132,7 +133,7 @@ def one_pass(start: Model, feats: list, labels: np.ndarray, seed: int, weights:
     weights = np.ones(len(feats), np.float32) if weights is None else weights
     m = Model(start.emb.copy(), start.out.copy(), start.bias.copy())
     g_emb, g_out, g_bias = np.full(BUCKETS, 1e-2, np.float32), np.full_like(m.out, 1e-2), np.full_like(m.bias, 1e-2)
-    touched = np.zeros(BUCKETS, bool)
+    touched, flat, axes = np.zeros(BUCKETS, bool), m.emb.reshape(-1), np.arange(DIM)
     order = np.random.default_rng(seed).permutation(len(feats))
     for a in range(0, len(order), BATCH):
         pick = order[a : a + BATCH]
@@ -143,7 +144,8 @@ def one_pass(start: Model, feats: list, labels: np.ndarray, seed: int, weights:
         d_rows = np.repeat((err @ m.out.T) / sizes[:, None], sizes, axis=0)
         d_out, d_bias = h.T @ err / len(pick), err.mean(0)
         np.add.at(g_emb, rows, (d_rows**2).sum(1) * len(pick))
-        np.add.at(m.emb, rows, -RATE * d_rows / np.sqrt(g_emb[rows])[:, None])
+        step = -RATE * d_rows / np.sqrt(g_emb[rows])[:, None]
+        np.add.at(flat, (rows[:, None] * DIM + axes).ravel(), step.astype(np.float32).ravel())
         g_out += d_out**2
         g_bias += d_bias**2
         m.out -= RATE * d_out / np.sqrt(g_out)
@@ -155,40 +157,58 @@ def one_pass(start: Model, feats: list, labels: np.ndarray, seed: int, weights:
 def _pass(sent, subjects: int, seed: int, weights: np.ndarray, passes: int):
     """The function that takes one pass over one part and returns its change of the parameters."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("place")
-        labels = np.stack(part["label"].to_numpy()).astype(np.float32).reshape(len(part), subjects)
-        each = labels @ weights + (1 - np.minimum(1, labels.sum(1)))
-        base, feats = sent.value, part["feats"].tolist()
-        new, touched = base, np.zeros(BUCKETS, bool)
-        for i in range(passes):
-            new, hit = one_pass(new, feats, labels, seed * 100 + i, each.astype(np.float32))
-            touched |= hit
-        at = np.flatnonzero(touched).astype(np.int32)
-        packed = [at, (new.emb - base.emb)[at], new.out - base.out, new.bias - base.bias]
-        return pd.DataFrame({"n": [len(part)], **{c: [np.ascontiguousarray(x).tobytes()] for c, x in zip("abcd", packed, strict=True)}})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for rows, sizes, label in zip(b["rows"], b["sizes"], b["labels"], strict=True):
+                ends = np.cumsum(np.frombuffer(sizes, np.int32))
+                feats = np.split(np.frombuffer(rows, np.int32), ends[:-1])
+                labels = np.frombuffer(label, np.float32).reshape(len(feats), subjects)
+                each = labels @ weights + (1 - np.minimum(1, labels.sum(1)))
+                base = new = sent.value
+                touched = np.zeros(BUCKETS, bool)
+                for i in range(passes):
+                    new, hit = one_pass(new, feats, labels, seed * 100 + i, each.astype(np.float32))
+                    touched |= hit
+                at = np.flatnonzero(touched).astype(np.int32)
+                change = [at, (new.emb - base.emb)[at], new.out - base.out, new.bias - base.bias]
+                yield pd.DataFrame({"n": [len(feats)], **{c: [np.ascontiguousarray(x).tobytes()] for c, x in zip("abcd", change, strict=True)}})
 
     return run
 
 
-def fit(rows: DataFrame, subjects: int, rounds: int, seed: int, passes: int = 1, balanced: bool = True) -> Model | None:
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All rows of a part as one row of flat arrays, so that no round has to unpack lists again."""
+    held = [b for b in batches if len(b)]
+    if held:
+        b = pd.concat(held)
+        sizes, label = np.array([len(f) for f in b["feats"]], np.int32), np.stack(b["label"].to_numpy()).astype(np.float32)
+        rows = np.concatenate(b["feats"].to_list()).astype(np.int32)
+        yield pd.DataFrame({"n": [len(b)], "sums": [label.sum(0)], "rows": [rows.tobytes()], "sizes": [sizes.tobytes()], "labels": [label.tobytes()]})
+
+
+def fit(rows: DataFrame, subjects: int, rounds: int, seed: int, passes: int | None = None, balanced: bool = True) -> Model | None:
     """Synchronised training on ``rows``: ``part`` (0 .. PARTS-1), ``place``, ``feats``, ``label`` (a share per subject).
 
-    ``balanced`` weighs rows of rare subjects more. Without rows there is no model.
+    ``balanced`` weighs rows of rare subjects more. Without ``passes`` a round takes as many passes as
+    it needs to see ``ROUND_ROWS`` rows, so few rows get as many steps as many. Without rows there is
+    no model.
     """
     spark = rows.sparkSession
     model = Model.fresh(subjects, seed)
-    # one file per part, in order: every round reads the same
+    # one row per part, of rows in a fixed order: every round and every retry reads the same
     rows = rows.repartitionById(PARTS, F.col("part")).sortWithinPartitions("place")
-    rows.write.parquet(path := scratch_path(spark, "fit"))
+    packed = rows.mapInPandas(_packed, "n bigint, sums array<float>, rows binary, sizes binary, labels binary")
+    packed.write.parquet(path := scratch_path(spark, "fit"))
     sums = np.zeros(subjects)
-    for r in spark.read.parquet(path).select(F.posexplode("label").alias("k", "y")).groupBy("k").agg(F.sum("y").alias("y")).collect():
-        sums[r["k"]] = r["y"]
+    n = 0
+    for r in spark.read.parquet(path).select("n", "sums").collect():  # a row per part
+        n, sums = n + r["n"], sums + np.array(r["sums"])
+    passes = passes or max(1, min(30, round(ROUND_ROWS / max(1, n))))
     weights = np.clip(sums.sum() / subjects / np.maximum(sums, 1), 0.5, 8) ** 0.5 if balanced else np.ones(subjects)
     for r in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
-        changes = spark.read.parquet(path).groupBy("part").applyInPandas(_pass(sent, subjects, seed * 1000 + r, weights, passes), "n bigint, a binary, b binary, c binary, d binary").collect()
+        changes = spark.read.parquet(path).mapInPandas(_pass(sent, subjects, seed * 1000 + r, weights, passes), "n bigint, a binary, b binary, c binary, d binary").collect()
         sent.destroy()
         if not changes:
             return None
@@ -252,19 +272,34 @@ def lent_labels(p: np.ndarray, how: str) -> list[tuple[int, np.ndarray]]:
     return [(i, one[k] if how == "whole" or p[i, k] > 0.5 else one[k] * 0) for i in range(n)]
 
 
-def lent_rows(docs: DataFrame, sent, how: str) -> DataFrame:
-    """Training rows that sampled documents (``doc_id``, ``text``) lend by ``how``."""
+def sampled(docs: DataFrame) -> DataFrame:
+    """The bounded sample of documents (``doc_id``, ``text``) as sentence features, written once."""
+    spark = docs.sparkSession
+    part = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    cut = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            feats = [[f for f in map(features, sentences(t)[:SAMPLE_SENTENCES]) if f] for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "feats": feats})
+
+    sample = docs.where(cut & F.col("doc_id").isNotNull()).select("doc_id", "text").repartition(2 * PARTS, "doc_id")
+    sample.mapInPandas(run, "doc_id bigint, feats array<array<int>>").write.parquet(path := scratch_path(spark, "fit-docs"))
+    return spark.read.parquet(path)
+
+
+def lent_rows(sample: DataFrame, sent, how: str) -> DataFrame:
+    """Training rows that sampled documents lend by ``how``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, t in zip(b["doc_id"], b["text"], strict=True):
-                feats = [f for f in map(features, sentences(t)[:SAMPLE_SENTENCES]) if f]
-                got = lent_labels(sent.value.scores(feats), how) if feats else []
+            for i, feats in zip(b["doc_id"], b["feats"], strict=True):
+                got = lent_labels(sent.value.scores(feats), how) if len(feats) else []
                 out += [(int(i) % PARTS, (int(i) << 16) + j, feats[j], y) for j, y in got]
             yield _frame(out)
 
-    return docs.select("doc_id", "text").mapInPandas(run, _ROWS)
+    return sample.mapInPandas(run, _ROWS)
 
 
 def train(spark: SparkSession, samples: DataFrame, docs: DataFrame) -> tuple[Model, list[str]]:
@@ -273,11 +308,7 @@ def train(spark: SparkSession, samples: DataFrame, docs: DataFrame) -> tuple[Mod
     subjects = sorted(r[0] for r in samples.select("subject").where("subject is not null").distinct().collect())
     k = len(subjects)
     model = fit(labelled_rows(samples, subjects), k, rounds=8, seed=0, passes=5, balanced=False) or Model.fresh(k)
-    part = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    cut = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)
-    sample = docs.where(cut & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    sample.write.parquet(path := scratch_path(spark, "fit-docs"))
-    sample = spark.read.parquet(path)
+    sample = sampled(docs)
     for seed, (how, times, rounds) in enumerate((("rest", 4, 4), ("whole", 3, 4), ("treated", 1, 5)), start=1):
         sent = spark.sparkContext.broadcast(model)
         rows = lent_rows(sample, sent, how).unionByName(labelled_rows(samples, subjects, times))
