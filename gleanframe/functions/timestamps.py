@@ -144,20 +144,24 @@ def with_instant(df: DataFrame, text: str, zone: str | None, out: str) -> DataFr
     columns carry a random suffix, so no column of ``df`` can clash with them.
     """
     tag = uuid.uuid4().hex[:12]
-    c = {k: f"__{k}_{tag}" for k in ("p", *_FIELDS, "off", "zone", "us", "ok")}
+    c = {k: f"__{k}_{tag}" for k in ("t", "n", "p", *_FIELDS, "off", "zone", "us")}
     keep = [F.col(f"`{x}`") for x in df.columns]
     col = lambda k: F.col(c[k])
-    # always true, but a projection that reads the partition's number is never copied into the
+    # the normal form needs no match: the engine reads it itself
+    text_ = F.col(f"`{text}`").cast("string")
+    df = df.select(*keep, text_.alias(c["t"]), F.coalesce(text_.rlike(CANONICAL), F.lit(False)).alias(c["n"]))
+    # the partition's number is never below 0, but a projection that reads it is not copied into the
     # filters above it, so the match runs once a row
-    once = F.when(F.spark_partition_id() >= 0, F.col(f"`{text}`").cast("string"))
-    raw = F.split(F.regexp_replace(_trimmed(once), _PATTERN, _REPLACEMENT), _SEP)
-    df = df.select(*keep, raw.alias(c["p"]))
-    df = df.select(*keep, F.when(F.size(col("p")) == len(_FIELDS) + 1, col("p")).alias(c["p"]))
+    other = F.when((F.spark_partition_id() >= 0) & ~col("n"), col("t"))
+    raw = F.split(F.regexp_replace(_trimmed(other), _PATTERN, _REPLACEMENT), _SEP)
+    df = df.select(*keep, F.when(col("n"), F.unix_micros(col("t").try_cast("timestamp"))).alias(c["n"]), raw.alias(c["p"]))
+    df = df.select(*keep, col("n"), F.when(F.size(col("p")) == len(_FIELDS) + 1, col("p")).alias(c["p"]))
     at = {k: F.get(col("p"), F.lit(i + 1)) for i, k in enumerate(_FIELDS)}
     month = F.when(at["mn"] != "", (F.instr(F.lit(_MONTH_STARTS), F.lower(F.substring(at["mn"], 1, 3))) + 2) / 3).otherwise(at["mo"].try_cast("int"))
     wall = F.coalesce(F.nullif(F.trim(F.col(f"`{zone}`")), F.lit("")), F.lit("UTC")) if zone else F.lit("UTC")
     df = df.select(
         *keep,
+        col("n"),
         *[_int(at[k]).alias(c[k]) for k in ("y", "d", "h", "mi", "s")],
         month.cast("bigint").alias(c["mo"]),
         F.rpad(F.substring(at["f"], 1, 6), 6, "0").cast("bigint").alias(c["f"]),
@@ -188,6 +192,7 @@ def with_instant(df: DataFrame, text: str, zone: str | None, out: str) -> DataFr
     named = F.nullif(col("o"), F.lit("")).isNull()
     df = df.select(
         *keep,
+        col("n"),
         F.when(ok, seconds * 1_000_000 + F.coalesce(col("f"), F.lit(0))).cast("bigint").alias(c["us"]),
         offset.alias(c["off"]),
         F.when(named, col("zone")).alias(c["zone"]),
@@ -197,7 +202,8 @@ def with_instant(df: DataFrame, text: str, zone: str | None, out: str) -> DataFr
     unit = F.when(F.length(epoch) <= 11, 1_000_000).when(F.length(epoch) <= 14, 1_000).otherwise(1)
     zoned = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(col("us")), col("zone")))
     instant = (
-        F.when(epoch.isNotNull(), epoch.try_cast("bigint") * unit)
+        F.when(col("n").isNotNull(), col("n"))
+        .when(epoch.isNotNull(), epoch.try_cast("bigint") * unit)
         .when(col("off").isNotNull(), col("us") - col("off") * 60_000_000)
         .when(col("zone").isin("UTC", "GMT"), col("us"))
         .when(col("zone").isin(*known_zones()), zoned)
