@@ -202,11 +202,9 @@ def search_segments(nodes: DataFrame, queries: DataFrame, max_bits: int = MAX_BI
     seg = ["level", "first"]
     # a row per segment: some multiple of the number of batches
     sizes = nodes.groupBy(*seg).agg(F.count("*").alias("n")).join(queries.groupBy(*seg).agg(F.count("*").alias("q")), seg)
-    sizes = sizes.select(
-        *seg,
-        F.ceil(F.col("n") / SHARD_NODES).cast("int").alias("ranges"),
-        F.ceil(F.col("q") / SHARD_QUERIES).cast("int").alias("parts"),
-    )
+    ranges = F.ceil(F.col("n") / SHARD_NODES).cast("int")
+    # where a ring is cut, a shard gets the queries of its range only
+    sizes = sizes.select(*seg, ranges.alias("ranges"), F.ceil(F.col("q") / (ranges * SHARD_QUERIES)).cast("int").alias("parts"))
     shard = [*seg, "ring", "range", "part"]
     placed = lambda df: df.join(sizes, seg).withColumn("__k", F.explode(_shard_keys(max_bits))).select("*", "__k.ring", "__k.range")
     n = placed(nodes).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*[F.col(c).alias(c) for c in (*shard, "code")])
