@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 _LUMA = np.array([0.299, 0.587, 0.114])
 
@@ -83,13 +84,13 @@ def _each(raw: pd.Series, height: pd.Series, width: pd.Series, f) -> list:
     return [None if r is None else f(as_pixels(r, int(h), int(w))) for r, h, w in zip(raw, height, width, strict=True)]
 
 
-@F.pandas_udf(", ".join(f"{m} double" for m in _MEASURES))
+@F.pandas_udf(StructType([StructField(m, DoubleType()) for m in _MEASURES]))
 def picture_measures(raw: pd.Series, height: pd.Series, width: pd.Series) -> pd.DataFrame:
     """:func:`measured` as a struct column."""
     return pd.DataFrame([m or {} for m in _each(raw, height, width, measured)], columns=list(_MEASURES))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def picture_fingerprint(raw: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
     """:func:`fingerprint` as a bigint column; null pictures have none."""
     return pd.Series(_each(raw, height, width, fingerprint), dtype="Int64")
