@@ -90,6 +90,24 @@ def on_earth(lat: Column, lon: Column) -> Column:
     return F.coalesce((F.abs(lat) > 1e-6) | (F.abs(lon) > 1e-6), F.lit(False))
 
 
+def cell_key(lat: Column, lon: Column, places: int = 3) -> Column:
+    """A coordinate's cell as text; null where the position was not measured."""
+    written = lambda c: F.format_string(f"%.{places}f", F.round(c, places))
+    return F.when(on_earth(lat, lon), F.concat_ws(",", written(lat), written(lon)))
+
+
+def place_name(city: Column, locality: Column, country: Column) -> Column:
+    """City, or else locality, and country, of what there is."""
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(F.concat_ws(", ", F.coalesce(some(city), some(locality)), some(country)), F.lit(""))
+
+
+def camera_clock(c: Column) -> Column:
+    """``HH:MM`` of a camera's ``YYYY:MM:DD HH:MM:SS``; null where that is no clock time."""
+    t = F.regexp_extract(c, r"^[0-9]{4}:[0-9]{2}:[0-9]{2} ([0-9]{2}:[0-9]{2}):[0-9]{2}$", 1)
+    return F.when(t.rlike("^([01][0-9]|2[0-3]):[0-5][0-9]$"), t)
+
+
 def place_line(clock: Column, place: Column) -> Column:
     """A line of clock time and place, of what there is; null if there is neither."""
     return F.nullif(F.concat_ws(" ", F.lit("📍"), clock, place), F.lit("📍"))

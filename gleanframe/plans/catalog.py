@@ -613,6 +613,72 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query(
+    """SELECT c_custkey, CASE WHEN abs(lat) > 1e-6 OR abs(lon) > 1e-6 THEN printf('%.3f', round(lat, 3)) || ',' || printf('%.3f', round(lon, 3)) END AS cell,
+  nullif(concat_ws(', ', coalesce(nullif(trim(city), ''), c_mktsegment), nullif(trim(n_name), '')), '') AS place,
+  CASE WHEN substr(stamp, 12, 2) < '24' THEN substr(stamp, 12, 5) END AS clock
+FROM (SELECT *, (c_custkey % 7) * 0.125 AS lat, -(c_custkey % 5) * 0.25 AS lon, CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE c_name END AS city,
+  '2025:01:02 ' || lpad(CAST(c_custkey % 30 AS VARCHAR), 2, '0') || ':15:00' AS stamp FROM customer) c JOIN nation ON n_nationkey = c_nationkey"""
+)
+def places_and_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    c = table(spark, sf_dir, "customer").join(nation, "c_nationkey")
+    lat, lon = (F.col("c_custkey") % 7).cast("double") * 0.125, -(F.col("c_custkey") % 5).cast("double") * 0.25
+    city = F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(F.col("c_name"))
+    stamp = F.concat(F.lit("2025:01:02 "), F.lpad((F.col("c_custkey") % 30).cast("string"), 2, "0"), F.lit(":15:00"))
+    return c.select(
+        "c_custkey", C.cell_key(lat, lon).alias("cell"), C.place_name(city, F.col("c_mktsegment"), F.col("n_name")).alias("place"), C.camera_clock(stamp).alias("clock")
+    )
+
+
+@_query(
+    """SELECT id, line FROM (SELECT id, nullif(trim(string_split(caption, chr(10))[1]), '') AS line FROM (
+  SELECT id, caption FROM images WHERE status = 'posted' ORDER BY loaded_at DESC, id LIMIT 40)) WHERE line IS NOT NULL"""
+)
+def recent_first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines of the 40 newest captions; empty ones are dropped after the limit."""
+    newest = table(spark, sf_dir, "images").where("status = 'posted'").orderBy(F.col("loaded_at").desc(), "id").limit(40)
+    return newest.select("id", T.first_line(F.col("caption")).alias("line")).where("line is not null")
+
+
+@_query("SELECT doc_id, (SELECT max(doc_id) FROM documents) // 100 - doc_id // 100 AS page, 99 - doc_id % 100 AS place FROM documents")
+def reverse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of 100 read from the last one backwards, each backwards."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    last = docs.agg(F.max("doc_id")).scalar()
+    return docs.select("doc_id", F.expr("doc_id div 100").alias("p"), (99 - F.col("doc_id") % 100).alias("place")).withColumn("page", F.floor(last / 100) - F.col("p")).drop("p")
+
+
+@_query(
+    """SELECT event_id, coalesce(last_value(CASE WHEN event_type <> 'error' THEN CAST(round(value) AS BIGINT) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS drift
+FROM events"""
+)
+def learned_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value of the last hit before each row, 0 before the first."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    hit = F.when(F.col("event_type") != "error", F.round("value").cast("bigint"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.last(hit, True).over(w), F.lit(0)).alias("drift"))
+
+
+@_query("SELECT coalesce(user_id, -1) AS user_id, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type <> 'error') AS ok FROM events GROUP BY ROLLUP (user_id)")
+def ok_fail_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = F.col("event_type") == "error"
+    by = table(spark, sf_dir, "events").rollup("user_id").agg(F.count("*").alias("calls"), F.count_if(failed).alias("failed"), F.count_if(~failed).alias("ok"))
+    return by.na.fill({"user_id": -1})
+
+
+@_query(
+    """WITH gone AS (SELECT id FROM images WHERE status = 'posted' AND id % 31 = 0)
+SELECT asset_id, max(CASE WHEN asset_id IN (SELECT trim(asset_id) FROM images WHERE id IN (SELECT id FROM gone) AND asset_id IS NOT NULL) THEN 0 ELSE seen END) AS seen FROM asset_index GROUP BY 1 HAVING max(coalesce(seen, -1)) >= 0"""
+)
+def requeue_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger with the assets of deleted posts open again."""
+    gone = table(spark, sf_dir, "images").where("status = 'posted' and id % 31 = 0").select(F.trim("asset_id").alias("asset_id")).where("asset_id is not null").distinct()
+    ledger = table(spark, sf_dir, "asset_index").select("asset_id", "seen").where("seen is not null")
+    opened = state.update_given(ledger, gone.withColumn("seen", F.lit(0)), "asset_id")
+    return opened.groupBy("asset_id").agg(F.max("seen").alias("seen"))
+
+
 @_query("SELECT asset_id, list(lang ORDER BY first, lang) AS langs FROM (SELECT asset_id, lang, min(doc_id) AS first FROM documents WHERE asset_id IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
 def ordered_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "documents").where("asset_id is not null and lang is not null").groupBy("asset_id", "lang").agg(F.min("doc_id").alias("first"))
