@@ -29,7 +29,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanframe.functions.timestamps import trim_space
@@ -193,18 +194,21 @@ def _shard_keys(max_bits: int) -> Column:
     return F.when(F.col("ranges") <= 1, whole).otherwise(F.array(*per_ring))
 
 
-def search_segments(nodes: DataFrame, queries: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def search_segments(nodes: DataFrame, queries: DataFrame, sizes: dict[tuple[int, int], tuple[int, int]], max_bits: int = MAX_BITS) -> DataFrame:
     """All near pairs of ``queries`` and ``nodes`` in the same segment.
 
-    Both have ``level``, ``first`` and ``code``; queries also ``rank``. Result: ``rank``, ``code``,
-    ``level``, ``first``, ``node_code``.
+    Both have ``level``, ``first`` and ``code``; queries also ``rank``. ``sizes`` has the numbers of
+    nodes and queries of every segment, or more. Result: ``rank``, ``code``, ``level``, ``first``,
+    ``node_code``.
     """
     seg = ["level", "first"]
-    # a row per segment: some multiple of the number of batches
-    sizes = nodes.groupBy(*seg).agg(F.count("*").alias("n")).join(queries.groupBy(*seg).agg(F.count("*").alias("q")), seg)
-    ranges = F.ceil(F.col("n") / SHARD_NODES).cast("int")
     # where a ring is cut, a shard gets the queries of its range only
-    sizes = sizes.select(*seg, ranges.alias("ranges"), F.ceil(F.col("q") / (ranges * SHARD_QUERIES)).cast("int").alias("parts"))
+    plan = []
+    for (level, first), (n, q) in sizes.items():
+        ranges = max(1, -(-n // SHARD_NODES))
+        plan.append((level, first, ranges, max(1, -(-q // (ranges * SHARD_QUERIES)))))
+    # a row per segment, as a local relation, whose size Spark knows
+    sizes = nodes.sparkSession.createDataFrame(pa.table({c: pa.array(v, pa.int32()) for c, v in zip(("level", "first", "ranges", "parts"), zip(*plan, strict=True) if plan else [[]] * 4, strict=True)}))
     shard = [*seg, "ring", "range", "part"]
     placed = lambda df: df.join(sizes, seg).withColumn("__k", F.explode(_shard_keys(max_bits))).select("*", "__k.ring", "__k.range")
     n = placed(nodes).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*[F.col(c).alias(c) for c in (*shard, "code")])
@@ -220,11 +224,24 @@ def search_segments(nodes: DataFrame, queries: DataFrame, max_bits: int = MAX_BI
 
 
 # ---- records
-def with_rank(df: DataFrame, batch: str) -> tuple[DataFrame, int]:
-    """``df`` with ``rank``, the place of its batch among the batches present, and their number."""
-    present = df.select(batch).where(F.col(batch).isNotNull()).distinct()
-    order = present.select(batch, (F.row_number().over(Window.orderBy(batch)) - 1).alias("rank"))  # one row per batch
-    return df.join(order, batch), present.count()
+def with_rank(df: DataFrame, batch: str) -> tuple[DataFrame, list[int]]:
+    """``df`` with ``rank``, the place of its batch among the batches present, and the rows of each."""
+    counts = sorted(df.where(F.col(batch).isNotNull()).groupBy(batch).agg(F.count("*").alias("n")).collect())  # a row per batch
+    order = df.sparkSession.createDataFrame(pa.table({"b": pa.array([r[0] for r in counts], None if counts else pa.int32()), "rank": pa.array(range(len(counts)), pa.int32())}))
+    order = order.select(F.col("b").cast(df.schema[batch].dataType).alias(batch), "rank")
+    return df.join(order, batch), [r[1] for r in counts]
+
+
+def segment_sizes(rows: list[int]) -> dict[tuple[int, int], tuple[int, int]]:
+    """Nodes and queries, at most, of every segment that serves as history, from the rows of each batch."""
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    for t, n in enumerate(rows):
+        for k in range(t.bit_length()):
+            if t >> k & 1:
+                first = t >> (k + 1) << (k + 1)
+                nodes, queries = out.get((k, first), (sum(rows[first : first + (1 << k)]), 0))
+                out[k, first] = (nodes, queries + n)
+    return out
 
 
 def duplicate_pairs(df: DataFrame, id_: str, batch: str, max_bits: int = MAX_BITS) -> DataFrame:
@@ -235,14 +252,14 @@ def duplicate_pairs(df: DataFrame, id_: str, batch: str, max_bits: int = MAX_BIT
     earlier batch must be accepted. Result: ``id_a`` < ``id_b``, each pair once. Records without a
     batch number take no part.
     """
-    rows, batches = with_rank(df, batch)
+    rows, counts = with_rank(df, batch)
+    batches = len(counts)
     rows = rows.select(F.col(id_).alias("id"), "rank", "sha", "code", F.coalesce("accepted", F.lit(True)).alias("accepted"))
     coded = rows.where("code is not null")
-    nodes = coded.where("accepted").select("code", "rank").distinct()
-    nodes = nodes.select("code", F.inline(node_segments(F.col("rank"), batches))).distinct()
+    nodes = coded.where("accepted").select("code", F.inline(node_segments(F.col("rank"), batches))).distinct()
     queries = coded.select("code", "rank").distinct()
     queries = queries.select("code", "rank", F.inline(query_segments(F.col("rank"), batches)))
-    near = search_segments(nodes, queries, max_bits)
+    near = search_segments(nodes, queries, segment_sizes(counts), max_bits)
     a = coded.where("accepted").select(F.col("code").alias("node_code"), F.col("rank").alias("rank_a"), F.col("id").alias("a"), F.col("sha").alias("sha_a"))
     b = coded.select("code", "rank", F.col("id").alias("b"), F.col("sha").alias("sha_b"))
     pairs = near.join(b, ["code", "rank"]).join(a, "node_code")
@@ -296,7 +313,9 @@ class GraphHistory:
             coded = old.where("code is not null")
             segs = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(f).alias("first")) for k, f in live])
             queries = batch.where("code is not null").select("code", F.lit(t).alias("rank")).distinct().select("code", "rank", F.inline(segs))
-            near = search_segments(coded.select("code", "level", "first").distinct(), queries, self.max_bits)
+            new = batch.count()
+            sizes = {(r["level"], r["first"]): (r["n"], new) for r in old.groupBy("level", "first").agg(F.count("*").alias("n")).collect()}
+            near = search_segments(coded.select("code", "level", "first").distinct(), queries, sizes, self.max_bits)
             b = batch.select("code", F.col("id").alias("new_id"), F.col("sha").alias("sha_b"))
             a = coded.select(F.col("code").alias("node_code"), "level", "first", F.col("id").alias("old_id"), F.col("sha").alias("sha_a"))
             by_code = near.join(b, "code").join(a, ["node_code", "level", "first"])
