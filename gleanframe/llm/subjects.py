@@ -16,8 +16,8 @@ sample of documents lends labels to its own sentences, in three further fits:
 2. whole: documents that clearly keep to one subject lend it to all their sentences, which brings in
    the subject's other words, while remarks, figures of speech and place names occur with every
    subject and are learned by none;
-3. treated: the same documents, but only sentences that the last fit calls treated keep the label,
-   and the others count against every subject.
+3. treated: sentences of the same documents keep the subject that the last fit finds in them, if the
+   document treats it; remarks and passing mentions count against every subject.
 
 Scoring reads every document whole: a subject is found where the share of the document's sentences
 whose output for it exceeds one half reaches ``SHARE``. A document may have several subjects or
@@ -269,7 +269,13 @@ def lent_labels(p: np.ndarray, how: str) -> list[tuple[int, np.ndarray]]:
     k = int(seen.argmax())
     if seen[k] < CLEAR_LEAST or seen[k] < CLEAR_SHARE * seen.sum():
         return []
-    return [(i, one[k] if how == "whole" or p[i, k] > 0.5 else one[k] * 0) for i in range(n)]
+    if how == "whole":
+        return [(i, one[k]) for i in range(n)]
+    # a second subject that the document treats keeps its sentences, a passing mention does not
+    shown = ((p > 0.5).sum(0) - 1) / (n - 1) >= SHARE  # by other sentences than the one in question
+    shown[k] = True
+    best = p.argmax(1)
+    return [(i, one[j] if p[i, j] > 0.5 and shown[j] else one[j] * 0) for i, j in enumerate(best.tolist())]
 
 
 def sampled(docs: DataFrame) -> DataFrame:
