@@ -137,10 +137,11 @@ def _days_from_civil(y: Column, m: Column, d: Column) -> Column:
     return era * 146097 + doe - 719468 - 146097
 
 
-def with_instant(df: DataFrame, text: str, zone: str | None, out: str) -> DataFrame:
+def with_instant(df: DataFrame, text: str, zone: str | None, out: str, normal: bool = True) -> DataFrame:
     """``df`` plus bigint ``out``: microseconds since 1970-01-01 UTC that ``text`` denotes, or null.
 
-    ``zone`` names the column with the zone of the clock that wrote the row's stamps. Helper
+    ``zone`` names the column with the zone of the clock that wrote the row's stamps. ``normal`` says
+    whether texts in the normal form occur; if not, none is looked for. Helper
     columns carry a random suffix, so no column of ``df`` can clash with them.
     """
     tag = uuid.uuid4().hex[:12]
@@ -149,7 +150,10 @@ def with_instant(df: DataFrame, text: str, zone: str | None, out: str) -> DataFr
     col = lambda k: F.col(c[k])
     # the normal form needs no match: the engine reads it itself
     text_ = F.col(f"`{text}`").cast("string")
-    df = df.select(*keep, text_.alias(c["t"]), F.coalesce(text_.rlike(CANONICAL), F.lit(False)).alias(c["n"]))
+    if normal:
+        df = df.select(*keep, text_.alias(c["t"]), F.coalesce(text_.rlike(CANONICAL), F.lit(False)).alias(c["n"]))
+    else:
+        df = df.select(*keep, text_.alias(c["t"]), F.lit(False).alias(c["n"]))
     # the partition's number is never below 0, but a projection that reads it is not copied into the
     # filters above it, so the match runs once a row
     other = F.when((F.spark_partition_id() >= 0) & ~col("n"), col("t"))

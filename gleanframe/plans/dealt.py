@@ -171,7 +171,7 @@ def _stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The instant of every stamp that is not in the normal form already."""
     rows = _stamps(spark, sf_dir).where(F.col("stamp").isNotNull() & ~F.col("stamp").rlike(CANONICAL))
-    out = with_instant(rows, "stamp", "wall_zone", "utc_us").where("utc_us is not null")
+    out = with_instant(rows, "stamp", "wall_zone", "utc_us", normal=False).where("utc_us is not null")
     return out.select("ref_table", "row_id", "field_name", "utc_us")
 
 
