@@ -19,6 +19,11 @@ def hex_code(c: Column) -> Column:
     return F.when(h.rlike("^[0-9a-f]{16}$"), F.conv(h, 16, -10).try_cast("bigint"))
 
 
+def picture_code(c: Column) -> Column:
+    """A 64-bit fingerprint as bigint, or null where it is not exactly 16 hex digits after a prefix that names the notation."""
+    return hex_code(F.regexp_replace(F.lower(trim_space(c)), r"^(?:p?hash\s*[:=]\s*|0x)", ""))
+
+
 def sign_code(vector: Column) -> Column:
     """Signs of the first 63 entries of a vector as the bits of a bigint."""
     bits = F.transform(F.slice(vector, 1, 63), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanframe.functions.scalars import cosine, hamming
 
+SHARD_CODES = 1_048_576
+PART_CODES = 131_072
+_PAIRS_AT_ONCE = 1_000_000
+_QUARTER = np.arange(1 << 16, dtype=np.uint16)
+
 
 def latest_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The whole latest row of every key."""
@@ -49,6 +56,68 @@ def near_semi(probe: DataFrame, kept: DataFrame, code: str, near: int) -> DataFr
     return probe.join(hits, code, "left_semi")
 
 
+def _earliest(queries: np.ndarray, nodes: np.ndarray, at: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Queries with a node within ``near`` bits, and the least ``at`` of those nodes.
+
+    Codes are cut into four quarters with radii that add up to ``near`` - 3: if every quarter differed
+    in more than its radius, the codes would differ in more than ``near`` bits. So a near node is found
+    by one of its quarters, looked up under every change of the query's quarter within the radius.
+    """
+    got_q, got_at = [np.empty(0, np.int64)], [np.empty(0, at.dtype)]
+    for i in range(4):
+        radius = (near + 1) // 4 - 1 + (i < (near + 1) % 4)
+        quarter = lambda codes: (codes >> np.uint64(48 - 16 * i)).astype(np.uint16)  # noqa: B023, E731
+        keys = quarter(nodes)
+        order = np.argsort(keys, kind="stable")
+        codes, ats = nodes[order], at[order]
+        starts = np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=1 << 16))])
+        asked = quarter(queries)
+        for change in _QUARTER[np.bitwise_count(_QUARTER).astype(int) <= radius]:
+            lo = starts[(run := (asked ^ change).astype(np.int64))]
+            count = starts[run + 1] - lo
+            some = np.flatnonzero(count)
+            held = np.cumsum(count[some])
+            cuts = np.searchsorted(held, np.arange(_PAIRS_AT_ONCE, (held[-1] if len(held) else 0) + _PAIRS_AT_ONCE, _PAIRS_AT_ONCE)) + 1
+            for part in np.split(some, np.minimum(cuts, len(some))[:-1]):
+                c = count[part]
+                q = np.repeat(part, c)
+                place = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c - lo[part], c)
+                hit = np.bitwise_count(queries[q] ^ codes[place]) <= near
+                got_q.append(q[hit])
+                got_at.append(ats[place[hit]])
+    q, first = np.concatenate(got_q), np.concatenate(got_at)
+    order = np.lexsort((first, q))
+    q, first = q[order], first[order]
+    head = np.flatnonzero(np.diff(q, prepend=-1))
+    return q[head], first[head]
+
+
+def near_earlier(rows: DataFrame, kept: Column, code: str, at: str, near: int) -> DataFrame:
+    """Rows whose ``code`` lies within ``near`` bits of that of any ``kept`` row with a lower ``at``.
+
+    Each distinct code is searched once, for the least ``at`` of the kept rows near it; shards of
+    kept codes meet parts of the codes in question.
+    """
+    spread = F.xxhash64(code)
+    coded = rows.where(F.col(code).isNotNull() & F.col(at).isNotNull())
+    codes = coded.groupBy(code).agg(F.min(F.when(kept, F.col(at)).cast("bigint")).alias("since"))
+    n = codes.count()
+    shards, parts = max(1, -(-n // SHARD_CODES)), max(-(-n // PART_CODES), min(24, -(-n // 2048)), 1)
+    nodes = codes.where("since is not null").withColumn("shard", F.pmod(spread, F.lit(shards)))
+    nodes = nodes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    asked = codes.select(code, F.pmod(F.xxhash64(spread), F.lit(parts)).cast("bigint").alias("part"))
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        as_bits = lambda df: df[code].to_numpy(np.int64).view(np.uint64)
+        q, since = _earliest(as_bits(right), as_bits(left), left["since"].to_numpy(np.int64), near)
+        return pd.DataFrame({code: right[code].to_numpy()[q], "since": since})
+
+    meet = nodes.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part"))
+    found = meet.applyInPandas(run, f"{code} bigint, since bigint").groupBy(code).agg(F.min("since").alias("since"))
+    return coded.join(found, code).where(F.col("since") < F.col(at)).drop("since")
+
+
 def best_reference(rows: DataFrame, references: DataFrame, id_: str, vector: str) -> DataFrame:
     """Largest cosine of each row's vector with any reference, and the first reference that has it.
 

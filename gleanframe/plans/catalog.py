@@ -30,6 +30,8 @@ def _query(sql: str | None = None):
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
 
+_OUTER = _BLANKS + " || chr(160) || chr(12288)"
+
 
 def _key(c: str) -> str:
     return f"nullif(nullif(trim({c}, {_BLANKS}), ''), 'DRYRUN')"
@@ -501,6 +503,17 @@ def near_dup_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.near_semi(coded.where("batch_no >= 24"), kept, "code", 6).select("id")
 
 
+@_query(
+    f"""WITH h AS (SELECT id, status, batch_no, regexp_replace(lower(trim(phash, {_OUTER})), '^(p?hash\\s*[:=]\\s*|0x)', '') AS hex FROM images),
+c AS (SELECT id, status, batch_no, CASE WHEN regexp_matches(hex, '^[0-9a-f]{{16}}$') THEN ('0x' || hex)::UBIGINT END AS code FROM h)
+SELECT p.id FROM c p WHERE EXISTS (SELECT 1 FROM c k WHERE k.batch_no < p.batch_no AND k.status <> 'rejected' AND bit_count(xor(p.code, k.code)) <= 12)"""
+)
+def near_dup_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every batch whose picture is within 12 bits of one that an earlier batch kept."""
+    images = table(spark, sf_dir, "images").select("id", "batch_no", C.picture_code(F.col("phash")).alias("code"), "status")
+    return lookup.near_earlier(images, F.col("status") != "rejected", "code", "batch_no", 12).select("id")
+
+
 @_query(
     """WITH r AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 3), s AS (
   SELECT e.vec_id, r.vec_id AS ref, list_cosine_similarity(e.embedding::DOUBLE[], r.v) AS sim FROM embeddings e, r)
