@@ -8,8 +8,8 @@ Two forms share the entry and the probe rule:
 
 * :class:`SnapshotStore` keeps index and values in the shared folder and takes one snapshot at a
   time: the probe reads the index (key and eight bytes), never the old values.
-* :func:`neighbour_changes` does all neighbouring pairs of a table that holds many snapshots: the
-  entries go to their key's bucket once, where each is probed against its neighbour entry.
+* :func:`neighbour_changes` does all neighbouring pairs of a table that holds many snapshots in one
+  pass: the entries of every snapshot are the index that those of the next probe, bucket by bucket.
 
 Values compare null-safely: the hash covers null flags as well as values. The hash has 64 bits,
 so two different value tuples of one key are mistaken for equal with probability 2**-64.
@@ -44,10 +44,10 @@ def latest_rows(df: DataFrame, by: list[str], order: list[Column], values: list[
     return df.groupBy(*by).agg(kept).select(*by, *[F.col(f"__kept.`{v}`").alias(v) for v in values])
 
 
-def index_of(df: DataFrame, keys: list[str], values: list[str], buckets: int = 64) -> DataFrame:
-    """Index entries of one snapshot: ``bucket``, the keys, ``value_hash``."""
+def index_of(df: DataFrame, keys: list[str], values: list[str], buckets: int = 64, also: list[str] | None = None) -> DataFrame:
+    """Index entries of one snapshot: ``bucket``, the keys, ``value_hash``, and the columns ``also``."""
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
-    return df.select(bucket, *keys, value_hash(values).alias("value_hash"))
+    return df.select(bucket, *keys, value_hash(values).alias("value_hash"), *(also or []))
 
 
 def probe(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,26 +78,11 @@ def neighbour_changes(df: DataFrame, order: DataFrame, snapshot: str, keys: list
     ``df`` has one row per snapshot and key; ``order`` comes from :func:`snapshot_order` over all
     delivered rows, so a snapshot without valid records still counts as present.
     """
-    entries = df.select(snapshot, *keys, value_hash(values).alias("__hash")).join(order, snapshot)
-    w = Window.partitionBy(*keys).orderBy(snapshot)
-    entries = entries.select(
-        "*",
-        F.lag(snapshot).over(w).alias("__last"),
-        F.lag("__hash").over(w).alias("__last_hash"),
-        F.lead(snapshot).over(w).alias("__next"),
-    )
-    held = F.col("__last").eqNullSafe(F.col("__before"))
-    came = F.when(
-        F.col("__before").isNotNull(),
-        F.when(~held, ADDED).when(F.col("__hash") != F.col("__last_hash"), CHANGED),
-    )
-    went = F.when(F.col("__after").isNotNull() & ~F.col("__next").eqNullSafe(F.col("__after")), REMOVED)
-    found = F.array(
-        F.struct(F.col(snapshot).alias("s"), came.alias("kind")),
-        F.struct(F.col("__after").alias("s"), went.alias("kind")),
-    )
-    out = entries.select(*keys, F.inline(F.filter(found, lambda x: x["kind"].isNotNull())).alias("__s", "change_kind"))
-    return out.select(F.col("__s").alias(snapshot), *keys, "change_kind")
+    entries = index_of(df.join(order, snapshot), keys, values, also=[snapshot, "__before", "__after"])
+    # an entry is the index of the snapshot that follows and a probe of the one before
+    index = entries.where("__after is not null").select("bucket", F.col("__after").alias(snapshot), *keys, "value_hash")
+    probing = entries.where("__before is not null").select("bucket", snapshot, *keys, "value_hash")
+    return probe(index, probing, [snapshot, *keys])
 
 
 def change_values(changes: DataFrame, df: DataFrame, order: DataFrame, snapshot: str, keys: list[str], values: list[str]) -> DataFrame:

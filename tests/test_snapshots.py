@@ -57,3 +57,11 @@ def test_hot_key_and_ties(spark):
     df = spark.createDataFrame(rows, "s int, k string, v bigint, t bigint")
     got = S.latest_rows(df, ["s", "k"], [df.t, df.v], ["v", "t"]).collect()
     assert sorted((r.k, r.v, r.t) for r in got) == [("b", 9, 3), ("hot", 1, 499)]
+
+
+def test_p1_probes_bucketed_index_entries(spark, tiny, monkeypatch):
+    probed, probe = [], S.probe
+    monkeypatch.setattr(S, "probe", lambda old, new, keys: probed.append((old.columns, new.columns)) or probe(old, new, keys))
+    plan = dealt.p1_found(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    entry = ["bucket", "snapshot_no", "tweet_id", "value_hash"]
+    assert probed == [(entry, entry)] and "Join FullOuter" in plan
