@@ -8,8 +8,8 @@ embedding row by the mean over the partitions that touched it, outputs by the me
 sends the sum out again. Parameters and changes have a fixed size, whatever the number of rows.
 
 Labels are weak at first: a labelled text names one subject, but holds remarks that treat none, and
-not every word of a subject occurs in one. So after a first fit on the labelled texts a bounded
-sample of documents lends labels to its own sentences, in three further fits:
+not every word of a subject occurs in one. So after a first fit on the labelled texts all documents,
+whole, lend labels to their own sentences, in three further fits:
 
 1. by the rest: a sentence gets the subjects that the other sentences of its document show, so
    that a remark the first fit learned by heart loses its subject;
@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanframe.session import scratch_path
+from gleanframe.session import delete_path, scratch_path
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -46,8 +46,7 @@ PARTS = 4
 RATE = 0.4
 BATCH = 32
 ROUND_ROWS = 100_000
-#: Bounds of the sample that lends labels to the fit: documents, and sentences of each.
-SAMPLE_DOCS, SAMPLE_SENTENCES = 10_000, 200
+BLOCK_ROWS = 65_536
 SHARE = 1 / 6
 #: A document keeps to a subject that holds ``CLEAR_SHARE`` of all evidence and at least
 #: ``CLEAR_LEAST``; evidence is the sum of scores of at least ``CLEAR_SCORE``.
@@ -154,63 +153,85 @@ def one_pass(start: Model, feats: list, labels: np.ndarray, seed: int, weights:
     return m, touched
 
 
-def _pass(sent, subjects: int, seed: int, weights: np.ndarray, passes: int):
-    """The function that takes one pass over one part and returns its change of the parameters."""
+def _pass(sent, subjects: int, seed: int, weights: np.ndarray, passes: int, at_slice: int = 0, slices: int = 1):
+    """The function that takes one pass over a slice of one part, block by block, and returns its change of the parameters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base = new = sent.value
+        held, n, touched = None, 0, np.zeros(BUCKETS, bool)
+
+        def change() -> Iterator[pd.DataFrame]:
+            if n:
+                at = np.flatnonzero(touched).astype(np.int32)
+                parts = [at, (new.emb - base.emb)[at], new.out - base.out, new.bias - base.bias]
+                yield pd.DataFrame({"n": [n], **{c: [np.ascontiguousarray(x).tobytes()] for c, x in zip("abcd", parts, strict=True)}})
+
         for b in batches:
-            for rows, sizes, label in zip(b["rows"], b["sizes"], b["labels"], strict=True):
+            for part, rows, sizes, label in zip(b["part"], b["rows"], b["sizes"], b["labels"], strict=True):
+                if part != held:
+                    yield from change()
+                    held, n, new, touched = part, 0, base, np.zeros(BUCKETS, bool)
                 ends = np.cumsum(np.frombuffer(sizes, np.int32))
-                feats = np.split(np.frombuffer(rows, np.int32), ends[:-1])
-                labels = np.frombuffer(label, np.float32).reshape(len(feats), subjects)
+                feats = np.split(np.frombuffer(rows, np.uint16).astype(np.int32), ends[:-1])[at_slice::slices]
+                labels = np.frombuffer(label, np.float32).reshape(len(ends), subjects)[at_slice::slices]
                 each = labels @ weights + (1 - np.minimum(1, labels.sum(1)))
-                base = new = sent.value
-                touched = np.zeros(BUCKETS, bool)
-                for i in range(passes):
+                for i in range(passes if feats else 0):
                     new, hit = one_pass(new, feats, labels, seed * 100 + i, each.astype(np.float32))
                     touched |= hit
-                at = np.flatnonzero(touched).astype(np.int32)
-                change = [at, (new.emb - base.emb)[at], new.out - base.out, new.bias - base.bias]
-                yield pd.DataFrame({"n": [len(feats)], **{c: [np.ascontiguousarray(x).tobytes()] for c, x in zip("abcd", change, strict=True)}})
+                n += len(feats)
+        yield from change()
 
     return run
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All rows of a part as one row of flat arrays, so that no round has to unpack lists again."""
-    held = [b for b in batches if len(b)]
-    if held:
+    """The rows of a part as few rows of flat arrays (blocks), so that no round has to unpack lists again."""
+    held: list[pd.DataFrame] = []
+
+    def block() -> pd.DataFrame:
         b = pd.concat(held)
-        sizes, label = np.array([len(f) for f in b["feats"]], np.int32), np.stack(b["label"].to_numpy()).astype(np.float32)
-        rows = np.concatenate(b["feats"].to_list()).astype(np.int32)
-        yield pd.DataFrame({"n": [len(b)], "sums": [label.sum(0)], "rows": [rows.tobytes()], "sizes": [sizes.tobytes()], "labels": [label.tobytes()]})
+        feats = [np.frombuffer(f, np.uint16) if isinstance(f, bytes) else np.asarray(f, np.uint16) for f in b["feats"]]
+        sizes, label = np.array([len(f) for f in feats], np.int32), np.stack(b["label"].to_numpy()).astype(np.float32)
+        return pd.DataFrame(
+            {"part": [b["part"].iloc[0]], "n": [len(b)], "sums": [label.sum(0)], "rows": [np.concatenate(feats).tobytes()], "sizes": [sizes.tobytes()], "labels": [label.tobytes()]}
+        )
+
+    for b in batches:
+        held += [b] if len(b) else []
+        if sum(map(len, held)) >= BLOCK_ROWS:
+            yield block()
+            held.clear()
+    if held:
+        yield block()
 
 
 def fit(rows: DataFrame, subjects: int, rounds: int, seed: int, passes: int | None = None, balanced: bool = True) -> Model | None:
     """Synchronised training on ``rows``: ``part`` (0 .. PARTS-1), ``place``, ``feats``, ``label`` (a share per subject).
 
     ``balanced`` weighs rows of rare subjects more. Without ``passes`` a round takes as many passes as
-    it needs to see ``ROUND_ROWS`` rows, so few rows get as many steps as many. Without rows there is
-    no model.
+    it needs to see ``ROUND_ROWS`` rows, so few rows get as many steps as many. Of many rows a round
+    takes a slice of no fewer than that; the rounds together take every row. Without rows there is no model.
     """
     spark = rows.sparkSession
     model = Model.fresh(subjects, seed)
     # one row per part, of rows in a fixed order: every round and every retry reads the same
     rows = rows.repartitionById(PARTS, F.col("part")).sortWithinPartitions("place")
-    packed = rows.mapInPandas(_packed, "n bigint, sums array<float>, rows binary, sizes binary, labels binary")
+    packed = rows.mapInPandas(_packed, "part int, n bigint, sums array<float>, rows binary, sizes binary, labels binary")
     packed.write.parquet(path := scratch_path(spark, "fit"))
     sums = np.zeros(subjects)
     n = 0
-    for r in spark.read.parquet(path).select("n", "sums").collect():  # a row per part
+    for r in spark.read.parquet(path).select("n", "sums").collect():  # a row per block
         n, sums = n + r["n"], sums + np.array(r["sums"])
+    slices = 1 if passes else max(1, min(rounds, n // ROUND_ROWS))
     passes = passes or max(1, min(30, round(ROUND_ROWS / max(1, n))))
     weights = np.clip(sums.sum() / subjects / np.maximum(sums, 1), 0.5, 8) ** 0.5 if balanced else np.ones(subjects)
     for r in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
-        changes = spark.read.parquet(path).mapInPandas(_pass(sent, subjects, seed * 1000 + r, weights, passes), "n bigint, a binary, b binary, c binary, d binary").collect()
+        changes = spark.read.parquet(path).mapInPandas(_pass(sent, subjects, seed * 1000 + r, weights, passes, r % slices, slices), "n bigint, a binary, b binary, c binary, d binary").collect()
         sent.destroy()
         if not changes:
+            delete_path(spark, path)
             return None
         emb, times = np.zeros_like(model.emb), np.zeros(BUCKETS, np.float32)
         out, bias, n = np.zeros_like(model.out), np.zeros_like(model.bias), sum(c["n"] for c in changes)
@@ -221,11 +242,16 @@ def fit(rows: DataFrame, subjects: int, rounds: int, seed: int, passes: int | No
             out += np.frombuffer(c["c"], np.float32).reshape(DIM, subjects) * (c["n"] / n)
             bias += np.frombuffer(c["d"], np.float32) * (c["n"] / n)
         model = Model(model.emb + emb / np.maximum(times, 1)[:, None], model.out + out, model.bias + bias)
+    delete_path(spark, path)
     return model
 
 
 # ---- rows
-_ROWS = "part int, place bigint, feats array<int>, label array<float>"
+_ROWS = "part int, place bigint, feats binary, label array<float>"
+
+
+def _bytes(feats: list[int]) -> bytes:
+    return np.asarray(feats, np.uint16).tobytes()
 
 
 def _frame(rows: list) -> pd.DataFrame:
@@ -240,9 +266,9 @@ def labelled_rows(samples: DataFrame, subjects: list[str], times: int = 1) -> Da
         for b in batches:
             yield _frame(
                 [
-                    (int(i) % PARTS, -((int(i) << 16) + j * 16 + t) - 1, f, one[s])
+                    (int(i) % PARTS, -((int(i) << 16) + j * 16 + t) - 1, _bytes(f), one[s])
                     for i, s, text in zip(b["sample_id"], b["subject"], b["text"], strict=True)
-                    for j, f in enumerate(map(features, sentences(text)[:SAMPLE_SENTENCES]))
+                    for j, f in enumerate(map(features, sentences(text)))
                     for t in range(times)
                     if f
                 ]
@@ -278,46 +304,30 @@ def lent_labels(p: np.ndarray, how: str) -> list[tuple[int, np.ndarray]]:
     return [(i, one[j] if p[i, j] > 0.5 and shown[j] else one[j] * 0) for i, j in enumerate(best.tolist())]
 
 
-def sampled(docs: DataFrame) -> DataFrame:
-    """The bounded sample of documents (``doc_id``, ``text``) as sentence features, written once."""
-    spark = docs.sparkSession
-    part = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    cut = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            feats = [[f for f in map(features, sentences(t)[:SAMPLE_SENTENCES]) if f] for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "feats": feats})
-
-    sample = docs.where(cut & F.col("doc_id").isNotNull()).select("doc_id", "text").repartition(2 * PARTS, "doc_id")
-    sample.mapInPandas(run, "doc_id bigint, feats array<array<int>>").write.parquet(path := scratch_path(spark, "fit-docs"))
-    return spark.read.parquet(path)
-
-
-def lent_rows(sample: DataFrame, sent, how: str) -> DataFrame:
-    """Training rows that sampled documents lend by ``how``."""
+def lent_rows(docs: DataFrame, sent, how: str) -> DataFrame:
+    """Training rows that documents (``doc_id``, ``text``), whole, lend by ``how``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, feats in zip(b["doc_id"], b["feats"], strict=True):
-                got = lent_labels(sent.value.scores(feats), how) if len(feats) else []
-                out += [(int(i) % PARTS, (int(i) << 16) + j, feats[j], y) for j, y in got]
+            for i, text in zip(b["doc_id"], b["text"], strict=True):
+                feats = [f for f in map(features, sentences(text)) if f]
+                got = lent_labels(sent.value.scores(feats), how) if feats else []
+                out += [(int(i) % PARTS, (int(i) << 16) + j, _bytes(feats[j]), y) for j, y in got]
             yield _frame(out)
 
-    return sample.mapInPandas(run, _ROWS)
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, _ROWS)
 
 
 def train(spark: SparkSession, samples: DataFrame, docs: DataFrame) -> tuple[Model, list[str]]:
-    """Fit on the labelled texts, then three times with labels lent by a bounded sample of documents."""
+    """Fit on the labelled texts, then three times with labels lent by all documents."""
     # the subjects are a handful of names
     subjects = sorted(r[0] for r in samples.select("subject").where("subject is not null").distinct().collect())
     k = len(subjects)
     model = fit(labelled_rows(samples, subjects), k, rounds=8, seed=0, passes=5, balanced=False) or Model.fresh(k)
-    sample = sampled(docs)
     for seed, (how, times, rounds) in enumerate((("rest", 4, 4), ("whole", 3, 4), ("treated", 1, 5)), start=1):
         sent = spark.sparkContext.broadcast(model)
-        rows = lent_rows(sample, sent, how).unionByName(labelled_rows(samples, subjects, times))
+        rows = lent_rows(docs, sent, how).unionByName(labelled_rows(samples, subjects, times))
         model = fit(rows, k, rounds, seed) or model
     return model, subjects
 

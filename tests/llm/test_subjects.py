@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from gleanframe.llm import subjects as S
@@ -56,3 +57,52 @@ def test_shares_of_odd_documents(spark):
 def test_p9_runs_on_few_documents(spark, tiny):
     got = p9_found(spark, tiny)
     assert got.columns == ["doc_id", "subject"] and got.count() == got.distinct().count() > 20
+
+
+def _sport_model():
+    model = S.Model.fresh(2)
+    model.emb[:], model.out[:], model.bias[:] = 0, 0, -3
+    model.emb[S.features("goal match team"), 0] = 5
+    model.out[0] = [9, -9]
+    return model
+
+
+def test_all_documents_lend_labels_whole(spark, monkeypatch):
+    seen = []
+
+    def fit(rows, *args, **kwargs):
+        seen.append(rows.where("place >= 0").selectExpr("shiftright(place, 16) AS doc").groupBy("doc").count().collect())
+        return _sport_model()
+
+    monkeypatch.setattr(S, "fit", fit)
+    docs = spark.range(10_500).selectExpr("id AS doc_id", "repeat('goal match team\\n', if(id = 7, 250, 2)) AS text")
+    samples = spark.createDataFrame([(1, "sport", "goal match"), (2, "other", "red rose")], "sample_id int, subject string, text string")
+    S.train(spark, samples, docs)
+    assert [len(s) for s in seen] == [0, 10_500, 10_500, 10_500]
+    assert all({r.doc: r["count"] for r in s}[7] == 250 for s in seen[1:])
+
+
+def test_slices_take_every_row(spark, monkeypatch):
+    monkeypatch.setattr(S, "ROUND_ROWS", 100)
+    rows, made = [(i % S.PARTS, i, S.features(t), [float(k == 0), float(k == 1)]) for i, (t, k) in enumerate(_toy(900, 1))], S._pass
+    used = []
+    monkeypatch.setattr(S, "_pass", lambda *a: used.append(a[-2:]) or made(*a))
+    model = S.fit(spark.createDataFrame(rows, "part int, place bigint, feats array<int>, label array<float>"), 2, rounds=6, seed=0)
+    assert used == [(i, 6) for i in range(6)]
+    held = _toy(200, 2)
+    assert (model.scores([S.features(t) for t, _ in held]).argmax(1) == [k for _, k in held]).mean() > 0.95
+
+
+def test_blocks_of_a_part_give_one_change(monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_ROWS", 30)
+    one = np.eye(2, dtype=np.float32)
+    rows = [(p, i, S._bytes(S.features(t)), one[k]) for p in (0, 1) for i, (t, k) in enumerate(_toy(100, p))]
+    frame = pd.DataFrame(rows, columns=["part", "place", "feats", "label"])
+    blocks = [b for p in (0, 1) for b in S._packed(frame[frame.part == p].iloc[a : a + 20] for a in range(0, 100, 20))]
+    assert [b["n"].iloc[0] for b in blocks] == [40, 40, 20] * 2
+
+    class Sent:
+        value = S.Model.fresh(2)
+
+    got = [sum(c["n"].iloc[0] for c in cs) for i in range(3) if len(cs := list(S._pass(Sent, 2, 0, np.ones(2), 1, i, 3)(iter(blocks)))) == 2]
+    assert len(got) == 3 and sum(got) == 200
