@@ -175,6 +175,12 @@ def status_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.withColumns({"indexed": index.select("indexed").scalar(), "seen": index.select("seen").scalar()})
 
 
+@_query(f"SELECT CAST(json_object('posted', posted, 'approved', approved, 'rejected', rejected, 'indexed', indexed, 'seen', seen) AS VARCHAR) AS status FROM ({_SQL['status_overview']})")
+def status_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overview as one JSON object."""
+    return status_overview(spark, sf_dir).select(F.to_json(F.struct("*")).alias("status"))
+
+
 @_query(
     """SELECT s.status, count(i.id) AS n FROM (VALUES ('seen'), ('queued'), ('approved'), ('retired')) s(status)
 LEFT JOIN images i ON i.status = s.status GROUP BY 1"""
@@ -710,6 +716,34 @@ def whole_fleet_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("date", "ai_7")
 
 
+@_query(
+    """SELECT l_orderkey, l_linenumber, round(area, 2) AS area FROM (
+  SELECT l_orderkey, l_linenumber, l_quantity * l_extendedprice AS area, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity * l_extendedprice DESC, l_linenumber) AS rn
+  FROM lineitem) WHERE rn = 1"""
+)
+def largest_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of each order with the largest product of its two sides, the first of equals."""
+    area = (F.col("l_quantity") * F.col("l_extendedprice")).alias("area")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", area)
+    best = lines.groupBy("l_orderkey").agg(F.max_by(F.struct("l_linenumber", "area"), F.struct("area", -F.col("l_linenumber"))).alias("b"))
+    return best.select("l_orderkey", "b.l_linenumber", F.round("b.area", 2).alias("area"))
+
+
+@_query("SELECT p_partkey, len(list_filter(string_split(p_name, ' '), lambda f: starts_with(f, 're'))) > 0 AS flagged FROM part")
+def flagged_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether any flag of a list starts with a prefix."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.exists(F.split("p_name", " "), lambda f: F.startswith(f, F.lit("re"))).alias("flagged"))
+
+
+@_query("SELECT id, caption, CASE WHEN batch_no >= 20 THEN alt_text END AS alt_text, CASE WHEN batch_no >= 20 THEN coalesce(post_attempts, 0) ELSE 0 END AS post_attempts FROM images WHERE batch_no IS NOT NULL")
+def added_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows from before two columns were added beside rows that have them; counters default to 0."""
+    images = table(spark, sf_dir, "images").where("batch_no is not null")
+    old = images.where("batch_no < 20").select("id", "caption")
+    new = images.where("batch_no >= 20").select("id", "caption", "alt_text", "post_attempts")
+    return old.unionByName(new, allowMissingColumns=True).na.fill({"post_attempts": 0})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
