@@ -312,24 +312,28 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, max_bits: i
     """
     shards, cells, schemes = read_index(spark, path)
     placed = _celled(queries, schemes)
-    # a cell with many queries is searched in parts
     asked = placed.groupBy(*_CELL).agg(F.ceil(F.count("*") / F.lit(SHARD_QUERIES)).cast("int").alias("parts")).join(cells, _CELL)
     placed = placed.join(asked, _CELL).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    placed = placed.select(_shard_name(F.col("piece")), F.pmod(F.xxhash64("code"), "parts").cast("int").alias("part"), "level", "first", "code", "rank")
-    many = asked.where("parts > 1").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda p: F.concat_ws("-", *_CELL, p))).alias("shard"), "parts")
-    # nearly all shards have one part, so this side is small or empty; it is joined in place
-    graphs = shards.join(many, "shard", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    placed = placed.select(_shard_name(F.col("piece")), "parts", "code", "rank")
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {c: [] for c in ("rank", "code", "level", "first", "node_code")}
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        level, first = map(int, key[0].split("-")[:2])
+        qi, node = np.empty(0, np.int64), np.empty(0, np.uint64)
         if len(left) and len(right):
-            shard = Shard.of_row(left.iloc[0], max_bits)
-            qi, node = shard.search(right["code"].to_numpy(np.int64).view(np.uint64))
-            out = {c: right[c].to_numpy()[qi] for c in ("rank", "code", "level", "first")} | {"node_code": node.view(np.int64)}
-        return pd.DataFrame(out)
-
-    found = graphs.select("shard", "part", "width", "recall", "codes", "links", "orders").groupBy("shard", "part")
-    out = found.cogroup(placed.groupBy("shard", "part")).applyInPandas(run, "rank int, code bigint, level int, first int, node_code bigint")
+            qi, node = Shard.of_row(left.iloc[0], max_bits).search(right["code"].to_numpy(np.int64).view(np.uint64))
+        hit = {c: right[c].to_numpy()[qi] for c in ("rank", "code")}
+        return pd.DataFrame(hit | {"level": level, "first": first, "node_code": node.view(np.int64)})
+
+    fields = "rank int, code bigint, level int, first int, node_code bigint"
+    few = placed.where("parts = 1").select("shard", "code", "rank")
+    out = shards.groupBy("shard").cogroup(few.groupBy("shard")).applyInPandas(run, fields)
+    # shards with more queries than one task should hold: only their graphs are sent to several tasks
+    name = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda p: F.concat_ws("-", *_CELL, p))
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    hot = asked.where("parts > 1").select(F.explode(name).alias("shard"), "parts")
+    graphs = shards.join(hot, "shard").select("*", part).groupBy("shard", "part")
+    many = placed.where("parts > 1").select("shard", F.pmod(F.xxhash64("code"), "parts").cast("int").alias("part"), "code", "rank")
+    out = out.unionByName(graphs.cogroup(many.groupBy("shard", "part")).applyInPandas(run, fields))
     return out.distinct() if any(SCHEMES[s][1] for s in schemes.values()) else out
 
 
