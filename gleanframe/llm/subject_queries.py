@@ -10,9 +10,9 @@ from gleanframe.sources import table
 
 
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model, names = S.train(spark, table(spark, sf_dir, "subject_samples"), docs)
-    return S.subject_shares(docs, model, names).where(F.col("share") >= S.SHARE - 1e-9)
+    blocks = S.written_blocks(table(spark, sf_dir, "documents"))
+    model, names = S.train(spark, table(spark, sf_dir, "subject_samples"), blocks)
+    return S.subject_shares(blocks, model, names).where(F.col("share") >= S.SHARE - 1e-9)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
