@@ -3,7 +3,8 @@
 All formats are one regex alternation with named groups. A text is matched once: the replacement
 string writes every component, in fixed order, between separators, and a group of an alternative
 that did not take part writes nothing. Calendar checks and the instant itself are integer
-arithmetic on those components, so the whole path stays in generated JVM code.
+arithmetic on those components. Match and instant each come from a generator of one element, which
+keeps the optimiser from copying them into the filters above, so the path stays in generated JVM code.
 
 Rules
 -----
@@ -20,10 +21,8 @@ Rules
 from __future__ import annotations
 
 import uuid
-import zoneinfo
-from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SEP = "\u0001"
@@ -102,15 +101,14 @@ _REPLACEMENT = _SEP + _SEP.join("".join(f"${{{g}}}" for g in _GROUPS[k]) for k i
 CANONICAL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?\+00:00$"
 
 
-@lru_cache(maxsize=1)
-def known_zones() -> tuple[str, ...]:
-    """Zone names that the JVM knows; names outside it denote nothing."""
-    spark = SparkSession.getActiveSession()
-    try:
-        names = {str(z) for z in spark._jvm.java.time.ZoneId.getAvailableZoneIds().toArray()}
-    except Exception:  # no JVM gateway (Connect): long-established names only
-        names = {z for z in zoneinfo.available_timezones() if z.split("/")[0] in {"Africa", "America", "Asia", "Australia", "Europe", "Pacific", "Etc"}}
-    return tuple(sorted(z for z in names if "/" in z or z in {"UTC", "GMT"}))
+def zone_known(zone: Column) -> Column:
+    """Whether the engine knows a region's name, such as ``Asia/Shanghai``; it reads a stamp with it or not."""
+    return zone.rlike("^[A-Za-z]+(?:/[A-Za-z0-9_+-]+)+$") & F.concat(F.lit("2000-01-01 00:00:00 "), zone).try_cast("timestamp").isNotNull()
+
+
+def once(c: Column) -> Column:
+    """``c`` from a generator of one element: worked out once a row, never copied into the filters and projections above it."""
+    return F.explode(F.array(c))
 
 
 def trim_space(c: Column) -> Column:
@@ -151,14 +149,11 @@ def with_instant(df: DataFrame, text: str, zone: str | None, out: str, normal: b
     # the normal form needs no match: the engine reads it itself
     text_ = F.col(f"`{text}`").cast("string")
     if normal:
-        df = df.select(*keep, text_.alias(c["t"]), F.coalesce(text_.rlike(CANONICAL), F.lit(False)).alias(c["n"]))
+        df = df.select(*keep, text_.alias(c["t"]), F.coalesce(text_.rlike(CANONICAL) & ~text_.startswith("0000"), F.lit(False)).alias(c["n"]))
     else:
         df = df.select(*keep, text_.alias(c["t"]), F.lit(False).alias(c["n"]))
-    # the partition's number is never below 0, but a projection that reads it is not copied into the
-    # filters above it, so the match runs once a row
-    other = F.when((F.spark_partition_id() >= 0) & ~col("n"), col("t"))
-    raw = F.split(F.regexp_replace(_trimmed(other), _PATTERN, _REPLACEMENT), _SEP)
-    df = df.select(*keep, F.when(col("n"), F.unix_micros(col("t").try_cast("timestamp"))).alias(c["n"]), raw.alias(c["p"]))
+    raw = F.split(F.regexp_replace(_trimmed(F.when(~col("n"), col("t"))), _PATTERN, _REPLACEMENT), _SEP)
+    df = df.select(*keep, F.when(col("n"), F.unix_micros(col("t").try_cast("timestamp"))).alias(c["n"]), once(raw).alias(c["p"]))
     df = df.select(*keep, col("n"), F.when(F.size(col("p")) == len(_FIELDS) + 1, col("p")).alias(c["p"]))
     at = {k: F.get(col("p"), F.lit(i + 1)) for i, k in enumerate(_FIELDS)}
     month = F.when(at["mn"] != "", (F.instr(F.lit(_MONTH_STARTS), F.lower(F.substring(at["mn"], 1, 3))) + 2) / 3).otherwise(at["mo"].try_cast("int"))
@@ -210,6 +205,6 @@ def with_instant(df: DataFrame, text: str, zone: str | None, out: str, normal: b
         .when(epoch.isNotNull(), epoch.try_cast("bigint") * unit)
         .when(col("off").isNotNull(), col("us") - col("off") * 60_000_000)
         .when(col("zone").isin("UTC", "GMT"), col("us"))
-        .when(col("zone").isin(*known_zones()), zoned)
+        .when(zone_known(col("zone")), zoned)
     )
-    return df.select(*keep, instant.cast("bigint").alias(out))
+    return df.select(*keep, once(instant.cast("bigint")).alias(out))

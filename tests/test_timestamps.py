@@ -73,3 +73,27 @@ def test_p5_against_strptime(spark, scale):
 def test_match_is_not_copied_into_filters(spark, tiny):
     plan = dealt.p5_found(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?<y1>") == 1
+
+
+def test_both_ways_of_reading_the_normal_form_agree(spark):
+    stamps = ["2024-02-29T23:59:59+00:00", "2023-02-29T00:00:00+00:00", "0000-01-01T00:00:00+00:00", "0001-01-01T00:00:00+00:00", "9999-12-31T23:59:59.999999+00:00",
+              "2024-01-01T24:00:00+00:00", "2024-01-01T00:00:60+00:00", "2024-01-01T00:00:00.1234567899+00:00", "2024-13-01T00:00:00+00:00", "1969-12-31T23:59:59.5+00:00"]
+    df = spark.createDataFrame([(s,) for s in stamps], "t string")
+    a, b = (with_instant(df, "t", None, "us", normal=n).collect() for n in (True, False))
+    assert a == b and sum(r.us is not None for r in a) == 5
+
+
+def test_stamps_stay_in_generated_code(spark, tiny):
+    """The stage compiles (a stage beyond the limits of a method would be interpreted), and no filter holds a copy of the match."""
+    from gleanframe.plans import dealt
+
+    fallback = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for query in (dealt.p5_found, dealt.p5_quality):
+            df = query(spark, tiny)
+            df.collect()
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert not any("Filter" in x and "regexp_replace" in x for x in plan.splitlines())
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", fallback)
