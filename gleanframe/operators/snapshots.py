@@ -1,20 +1,23 @@
 """What changed between full snapshots (problem 1).
 
-Each snapshot is kept as an index: one entry (bucket, key, hash of the values) per record. A new
-snapshot's entries probe the last index; only for keys whose hash differs are old values fetched;
-then the new index takes the old one's place.
+Each snapshot is kept as an index in the shared folder: one entry (key, hash of the values) per
+record, with the values beside it in columns that a probe does not read, cut into buckets by the
+key. A new snapshot's entries probe the last index bucket by bucket, without an exchange; only for
+keys whose hash differs are values fetched, again in place; then the new index takes the old one's
+place.
 
 Two forms share the entry and the probe rule:
 
-* :class:`SnapshotStore` keeps index and values in the shared folder and takes one snapshot at a
-  time: the probe reads the index (key and eight bytes), never the old values.
-* :func:`neighbour_changes` does all neighbouring pairs of a table that holds many snapshots in one
-  pass: the entries of every snapshot are the index that those of the next probe, bucket by bucket.
+* :class:`SnapshotStore` takes one snapshot at a time and keeps the last.
+* :class:`NeighbourIndex` does all neighbouring pairs of a table that holds many snapshots in one
+  pass: it writes the entries of every snapshot, bucketed by snapshot and key, and beside them the
+  same entries under the snapshot that follows, which is the last index of that one.
 
 Values compare null-safely: the hash covers null flags as well as values. The hash has 64 bits,
 so two different value tuples of one key are mistaken for equal with probability 2**-64.
-Keys may be null (null equals null). Repeated keys inside one snapshot must be resolved first with
-:func:`latest_rows`. An empty snapshot removes everything; a first snapshot reports nothing.
+In the store keys may be null (null equals null); for the neighbours rows with a null key are no
+records. Repeated keys inside one snapshot must be resolved first with :func:`latest_rows`. An empty
+snapshot removes everything; a first snapshot reports nothing.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanframe.session import delete_path
+from gleanframe.session import delete_path, scratch_path, shuffle_partitions
+from gleanframe.sources.buckets import fields_of, read_bucketed, write_bucketed
 
 ADDED, REMOVED, CHANGED = "added", "removed", "changed"
 
@@ -44,25 +48,49 @@ def latest_rows(df: DataFrame, by: list[str], order: list[Column], values: list[
     return df.groupBy(*by).agg(kept).select(*by, *[F.col(f"__kept.`{v}`").alias(v) for v in values])
 
 
-def index_of(df: DataFrame, keys: list[str], values: list[str], buckets: int = 64, also: list[str] | None = None) -> DataFrame:
-    """Index entries of one snapshot: ``bucket``, the keys, ``value_hash``, and the columns ``also``."""
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
-    return df.select(bucket, *keys, value_hash(values).alias("value_hash"), *(also or []))
+def key_hash(keys: list[str]) -> Column:
+    """64-bit hash of a key and of which of its parts are null; keys that share it are told apart by the key itself."""
+    return F.xxhash64(*[F.col(k).isNull() for k in keys], *[F.col(k) for k in keys])
 
 
-def probe(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Changes between two indexes: the keys and ``change_kind``."""
-    o, n = old.alias("o"), new.alias("n")
-    same = F.col("o.bucket") == F.col("n.bucket")
-    for k in keys:
-        same = same & F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}"))
-    kind = (
-        F.when(F.col("o.value_hash").isNull(), ADDED)
-        .when(F.col("n.value_hash").isNull(), REMOVED)
-        .when(F.col("o.value_hash") != F.col("n.value_hash"), CHANGED)
+def kind_of_change(old_hash: str, new_hash: str) -> Column:
+    """``added``, ``removed`` or ``changed``; null where both hashes are the same."""
+    return (
+        F.when(F.col(old_hash).isNull(), ADDED)
+        .when(F.col(new_hash).isNull(), REMOVED)
+        .when(F.col(old_hash) != F.col(new_hash), CHANGED)
     )
-    both = [F.when(F.col("n.value_hash").isNull(), F.col(f"o.{k}")).otherwise(F.col(f"n.{k}")).alias(k) for k in keys]
-    return o.join(n, same, "full_outer").select(*both, kind.alias("change_kind")).where("change_kind is not null")
+
+
+def probe(old: DataFrame, new: DataFrame, by: list[str], same: list[str] | None = None) -> DataFrame:
+    """Changes between two indexes: the columns of ``by`` and ``same``, and ``change_kind``.
+
+    Entries meet where ``by`` is equal, which is how both are bucketed, and ``same`` is equal or
+    null on both sides.
+    """
+    o, n = old.select(*by, *(same or []), "value_hash").alias("o"), new.select(*by, *(same or []), "value_hash").alias("n")
+    both = [F.coalesce(f"n.{k}", f"o.{k}").alias(k) for k in by]
+    both += [F.when(F.col("n.value_hash").isNull(), F.col(f"o.{k}")).otherwise(F.col(f"n.{k}")).alias(k) for k in same or []]
+    kind = kind_of_change("o.value_hash", "n.value_hash").alias("change_kind")
+    return o.join(n, _meet("o", "n", by, same), "full_outer").select(*both, kind).where("change_kind is not null")
+
+
+def _meet(left: str, right: str, by: list[str], same: list[str] | None) -> Column:
+    """Equal in ``by``; in ``same`` equal or both null, said so that the planner takes ``by`` alone for the join's keys."""
+    on = F.lit(True)
+    for k in by:
+        on = on & (F.col(f"{left}.{k}") == F.col(f"{right}.{k}"))
+    for k in same or []:
+        a, b = F.col(f"{left}.{k}"), F.col(f"{right}.{k}")
+        on = on & F.coalesce(a == b, a.isNull() & b.isNull())
+    return on
+
+
+def fetched(changes: DataFrame, old: DataFrame, new: DataFrame, by: list[str], same: list[str] | None, values: list[str]) -> DataFrame:
+    """``changes`` with ``old_*`` and ``new_*`` values of the changed keys."""
+    both = changes.alias("c").join(old.alias("o"), _meet("c", "o", by, same), "left").join(new.alias("n"), _meet("c", "n", by, same), "left")
+    side = [F.col(f"{t}.{v}").alias(f"{name}_{v}") for t, name in (("o", "old"), ("n", "new")) for v in values]
+    return both.select("c.*", *side)
 
 
 def snapshot_order(df: DataFrame, snapshot: str) -> DataFrame:
@@ -72,26 +100,38 @@ def snapshot_order(df: DataFrame, snapshot: str) -> DataFrame:
     return present.select(snapshot, F.lag(snapshot).over(w).alias("__before"), F.lead(snapshot).over(w).alias("__after"))
 
 
-def neighbour_changes(df: DataFrame, order: DataFrame, snapshot: str, keys: list[str], values: list[str]) -> DataFrame:
-    """All changes between neighbouring snapshots: ``snapshot`` (the later), the keys, ``change_kind``.
+class NeighbourIndex:
+    """The written indexes of all snapshots of ``df`` (one row per snapshot and key).
 
-    ``df`` has one row per snapshot and key; ``order`` comes from :func:`snapshot_order` over all
-    delivered rows, so a snapshot without valid records still counts as present.
+    ``order`` comes from :func:`snapshot_order` over all delivered rows, so a snapshot without valid
+    records still counts as present. ``now`` holds the entries under their own snapshot, ``last``
+    the same entries under the snapshot that follows.
     """
-    entries = index_of(df.join(order, snapshot), keys, values, also=[snapshot, "__before", "__after"])
-    # an entry is the index of the snapshot that follows and a probe of the one before
-    index = entries.where("__after is not null").select("bucket", F.col("__after").alias(snapshot), *keys, "value_hash")
-    probing = entries.where("__before is not null").select("bucket", snapshot, *keys, "value_hash")
-    return probe(index, probing, [snapshot, *keys])
-
 
-def change_values(changes: DataFrame, df: DataFrame, order: DataFrame, snapshot: str, keys: list[str], values: list[str]) -> DataFrame:
-    """``changes`` with ``old_*`` and ``new_*`` values, fetched for changed records only."""
-    new = df.select(snapshot, *keys, *[F.col(v).alias(f"new_{v}") for v in values])
-    old = df.join(order, snapshot).where("__after is not null")
-    old = old.select(F.col("__after").alias(snapshot), *keys, *[F.col(v).alias(f"old_{v}") for v in values])
-    on = [snapshot, *keys]
-    return changes.join(new, on, "left").join(old, on, "left")
+    def __init__(self, df: DataFrame, order: DataFrame, snapshot: str, keys: list[str], values: list[str]):
+        spark = df.sparkSession
+        self.by, self.values = [snapshot, *keys], values
+        buckets, path = shuffle_partitions(spark), scratch_path(spark, "snapshots")
+        order.coalesce(1).write.parquet(f"{path}/order")  # a row per snapshot
+        order = spark.read.schema(order.schema).parquet(f"{path}/order")
+        rows = df.select(*self.by, value_hash(values).alias("value_hash"), *values).where(" AND ".join(f"`{k}` IS NOT NULL" for k in self.by))
+        schema = fields_of(rows)
+        # the rows come out of a grouping by snapshot and key, so they lie as the buckets do
+        write_bucketed(rows, f"{path}/now", buckets, self.by)
+        now = read_bucketed(spark, f"{path}/now", schema, buckets, self.by)
+        after = now.join(order, snapshot).where("__after is not null").withColumn(snapshot, F.col("__after")).select(*rows.columns)
+        write_bucketed(after.repartition(buckets, *self.by), f"{path}/last", buckets, self.by)
+        self.last = read_bucketed(spark, f"{path}/last", schema, buckets, self.by)
+        first = order.where("__before is null").first()  # probes nothing
+        self.now = now if first is None else now.where(F.col(snapshot) != first[snapshot])
+
+    def changes(self) -> DataFrame:
+        """All changes between neighbouring snapshots: ``snapshot`` (the later), the keys, ``change_kind``."""
+        return probe(self.last, self.now, self.by)
+
+    def changes_with_values(self) -> DataFrame:
+        """The same with ``old_*`` and ``new_*`` values, fetched in place for the changed keys."""
+        return fetched(self.changes(), self.last, self.now, self.by, None, self.values)
 
 
 class SnapshotStore:
@@ -122,29 +162,19 @@ class SnapshotStore:
         v = self._versions()
         last, name = self.current(), f"{len(v) and int(v[-1].split('-')[0]) + 1:09d}-{uuid.uuid4().hex[:8]}"
         here = f"{self.path}/{name}"
-        rows = snapshot.select(*self.keys, *self.values)
-        entries = index_of(rows, self.keys, self.values, self.buckets)
-        entries.write.parquet(f"{here}/index", partitionBy="bucket")
-        read_index = self.spark.read.schema(entries.schema)  # an empty snapshot leaves no file to infer it from
-        rows.write.parquet(f"{here}/rows")
-        index = read_index.parquet(f"{here}/index")
-        new = self.spark.read.schema(rows.schema).parquet(f"{here}/rows")
+        rows = snapshot.select(key_hash(self.keys).alias("key_hash"), *self.keys, value_hash(self.values).alias("value_hash"), *self.values)
+        schema = fields_of(rows)
+        write_bucketed(rows.repartition(self.buckets, "key_hash"), f"{here}/index", self.buckets, ["key_hash"])
+        read = lambda at: read_bucketed(self.spark, f"{at}/index", schema, self.buckets, ["key_hash"])
+        new = read(here)
+        old = new.where("false") if last is None else read(last)
+        found = probe(old, new, ["key_hash"], self.keys)
         if last is None:
-            changes = index.select(*self.keys, F.lit(ADDED).alias("change_kind")).limit(0)
-            old = new.limit(0)
-        else:
-            changes = probe(read_index.parquet(f"{last}/index"), index, self.keys)
-            old = self.spark.read.schema(rows.schema).parquet(f"{last}/rows")
-        on = lambda t: [F.col(f"c.{k}").eqNullSafe(F.col(f"{t}.{k}")) for k in self.keys]
-        both = changes.alias("c").join(old.alias("o"), on("o"), "left").join(new.alias("n"), on("n"), "left")
-        both.select(
-            *[F.col(f"c.{k}") for k in self.keys],
-            "c.change_kind",
-            *[F.col(f"o.{x}").alias(f"old_{x}") for x in self.values],
-            *[F.col(f"n.{x}").alias(f"new_{x}") for x in self.values],
-        ).write.parquet(f"{here}/changes")
+            found = found.where("false")
+        changes = fetched(found, old, new, ["key_hash"], self.keys, self.values).drop("key_hash")
+        changes.write.parquet(f"{here}/changes")
         self._fs.create(self._fs_path(f"{self.path}/current/{name}")).close()
         for x in v[:-1]:  # the version before stays for readers that still hold it
             delete_path(self.spark, f"{self.path}/{x}")
             delete_path(self.spark, f"{self.path}/current/{x}")
-        return self.spark.read.parquet(f"{here}/changes")
+        return self.spark.read.schema(changes.schema).parquet(f"{here}/changes")

@@ -27,15 +27,14 @@ def _live_posts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts added, removed or changed between neighbouring snapshots."""
     rows, order = _live_posts(spark, sf_dir)
-    out = snapshots.neighbour_changes(rows, order, "snapshot_no", ["tweet_id"], ["impressions"])
+    out = snapshots.NeighbourIndex(rows, order, "snapshot_no", ["tweet_id"], ["impressions"]).changes()
     return out.select(F.col("snapshot_no").cast("bigint").alias("snapshot_no"), "tweet_id", "change_kind")
 
 
 def p1_changes_with_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same changes with old and new impressions."""
     rows, order = _live_posts(spark, sf_dir)
-    found = snapshots.neighbour_changes(rows, order, "snapshot_no", ["tweet_id"], ["impressions"])
-    return snapshots.change_values(found, rows, order, "snapshot_no", ["tweet_id"], ["impressions"])
+    return snapshots.NeighbourIndex(rows, order, "snapshot_no", ["tweet_id"], ["impressions"]).changes_with_values()
 
 
 # ---- problem 3

@@ -1,3 +1,6 @@
+import re
+
+import pytest
 from brute import instant, key
 
 from gleanframe.operators import snapshots as S
@@ -28,8 +31,10 @@ def test_p1_against_brute_force(spark, tiny):
 def _diff(spark, rows):
     df = spark.createDataFrame(rows, "s int, k string, v bigint, w string")
     order = S.snapshot_order(df, "s")
-    out = S.neighbour_changes(df.where("k <> 'none'"), order, "s", ["k"], ["v", "w"])
-    return sorted(tuple(r) for r in out.collect())
+    index = S.NeighbourIndex(df.where("k <> 'none'"), order, "s", ["k"], ["v", "w"])
+    found = sorted(tuple(r) for r in index.changes().collect())
+    assert sorted(tuple(r)[:3] for r in index.changes_with_values().collect()) == found
+    return found
 
 
 def test_nulls_gaps_and_empty_snapshots(spark):
@@ -59,9 +64,47 @@ def test_hot_key_and_ties(spark):
     assert sorted((r.k, r.v, r.t) for r in got) == [("b", 9, 3), ("hot", 1, 499)]
 
 
-def test_p1_probes_bucketed_index_entries(spark, tiny, monkeypatch):
-    probed, probe = [], S.probe
-    monkeypatch.setattr(S, "probe", lambda old, new, keys: probed.append((old.columns, new.columns)) or probe(old, new, keys))
-    plan = dealt.p1_found(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
-    entry = ["bucket", "snapshot_no", "tweet_id", "value_hash"]
-    assert probed == [(entry, entry)] and "Join FullOuter" in plan
+@pytest.fixture
+def unbroadcast(spark):
+    """Plans as for tables too large to broadcast."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_the_probe_reads_bucketed_indexes_in_place(spark, tiny, unbroadcast):
+    """The written indexes are never exchanged, only the changes are where values are fetched; a probe reads keys and hashes only."""
+    for query, values in ((dealt.p1_found, False), (dealt.p1_changes_with_values, True)):
+        plan = query(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+        scans = [x for x in plan.splitlines() if "FileScan parquet spark_catalog" in x]
+        assert scans and all("Bucketed: true" in x for x in scans)
+        assert len(re.findall(r"Exchange hashpartitioning\(snapshot_no#\d+, tweet_id", plan)) == int(values)
+        assert not re.search(r"Exchange hashpartitioning.*\n[^\n]*(?:Project|Filter|ColumnarToRow)[^\n]*\n[^\n]*FileScan parquet spark_catalog", plan)
+        assert any("impressions" in x for x in scans) == values
+
+
+def test_changes_with_values_against_the_rows(spark, tiny):
+    rows, _ = dealt._live_posts(spark, tiny)
+    value = {(r.snapshot_no, r.tweet_id): r.impressions for r in rows.collect()}
+    present = sorted({s for s, _ in value})
+    before = dict(zip(present[1:], present, strict=False))
+    got = dealt.p1_changes_with_values(spark, tiny).collect()
+    assert got and all(r.new_impressions == value.get((r.snapshot_no, r.tweet_id)) and r.old_impressions == value.get((before[r.snapshot_no], r.tweet_id)) for r in got)
+
+
+def test_neighbours_without_keys_are_no_records(spark):
+    df = spark.createDataFrame([(1, "a", 1), (1, None, 2), (2, None, 3), (None, "a", 4)], "s int, k string, v int")
+    index = S.NeighbourIndex(df, S.snapshot_order(df, "s"), "s", ["k"], ["v"])
+    assert [tuple(r) for r in index.changes().collect()] == [(2, "a", "removed")]
+
+
+def test_store_probes_in_place(spark, tmp_path, monkeypatch, unbroadcast):
+    plans = []
+    fetched = S.fetched
+    monkeypatch.setattr(S, "fetched", lambda *a: plans.append(fetched(*a)) or plans[-1])
+    store = S.SnapshotStore(spark, str(tmp_path / "t"), ["k"], ["v"], buckets=4)
+    for v in (1, 2):
+        store.apply(spark.createDataFrame([("a", v), (None, v), ("b", 7)], "k string, v bigint"))
+    assert plans[1]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
