@@ -55,7 +55,7 @@ DIM = 16
 PARTS = 4
 RATE = 0.4
 #: Sentences of a mini-batch, and of how many of them the rates are scaled for.
-BATCH, RATE_BATCH = 64, 32
+BATCH, RATE_BATCH = 256, 32
 #: Sentences that a round sees at least, by repeated passes or by several slices.
 ROUND_ROWS = 200_000
 #: Sentences of a block (of whole documents) and slices that blocks are dealt to.
