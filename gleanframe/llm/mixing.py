@@ -4,15 +4,16 @@ Every source's texts, in a pseudorandom order of documents, form one stream of t
 into blocks of fixed length (the last block of a source may be short). The mix is a sequence of
 slots, grouped in output shards. Each shard draws how many of its slots go to which source
 from a multinomial distribution with the target shares, seeded by the shard's number. Running sums
-over the shards number the slots of a source; slot k reads block ``perm_e(k mod blocks)`` in epoch
+over the shards, in two steps (over ranges of shards and inside them), number the slots of a source; slot k reads block ``perm_e(k mod blocks)`` in epoch
 ``e = k div blocks``, where ``perm_e`` is a pseudorandom permutation of the block indexes (a
 Feistel network, walked until it lands inside). Slots and blocks are joined by that index. No
 order is ever held in memory, and a lost task redraws the same numbers.
 
 Shares are set over the sources that have tokens at all (a target without documents is reported
 with share 0 and the others are scaled up). The number of slots is the largest for which the
-scarcest source stays ``SIGMAS`` standard deviations below its capped supply; slots beyond the cap
-(a chance below 1e-9) would be left out, never repeated. Documents of sources without a target
+scarcest source stays ``SIGMAS`` standard deviations below its capped supply; should a source be drawn
+more often than its cap allows (a chance below 1e-9), all counts are drawn anew with the next seed, so
+no slot is left out and no block repeated too often. Documents of sources without a target
 are not part of the mix. Null or empty texts have no tokens.
 """
 
@@ -30,7 +31,8 @@ from gleanframe.session import scratch_path
 BLOCK = 256
 SLOTS_PER_SHARD = 512
 SIGMAS = 6.0
-BUCKETS = 64
+#: Documents of a source's stream, and shards of a range, that one task numbers.
+NUMBERED, RANGE = 500_000, 4_096
 
 
 def normal_source(c):
@@ -73,11 +75,12 @@ def block_spans(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     ``docs``: ``source``, ``doc_id``, ``tokens`` (a written table, it is read twice). Result:
     ``source``, ``block``, ``doc_id``, ``from_token``, ``to_token``, ``at`` (place in the block).
-    Positions are running sums in two steps, over buckets and inside them, so the largest source
-    is spread over all tasks.
+    Positions are running sums in two steps, over buckets and inside them; there are as many
+    buckets as keep each at about ``NUMBERED`` documents, so the largest source is spread over all tasks.
     """
+    bits = max(6, (docs.count() // NUMBERED).bit_length())
     rows = docs.where("tokens > 0").select("source", "doc_id", "tokens").withColumn("__place", F.xxhash64("doc_id"))
-    rows = rows.withColumn("__bucket", F.shiftrightunsigned(F.col("__place"), 64 - BUCKETS.bit_length() + 1).cast("int"))
+    rows = rows.withColumn("__bucket", F.shiftrightunsigned(F.col("__place"), 64 - bits).cast("bigint"))
     before = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("source", "__bucket").agg(F.sum("tokens").alias("__n"))
     starts = starts.select("source", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
@@ -114,20 +117,34 @@ def slots(spark: SparkSession, blocks: dict[str, int], share: dict[str, float],
     p = np.array([share[s] for s in names], float)
     p = p / p.sum() if len(p) else p
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for shard in b["id"]:
-                size = min(SLOTS_PER_SHARD, total - shard * SLOTS_PER_SHARD)
-                counts = np.random.default_rng([seed, shard]).multinomial(size, p)
-                out.append(pd.DataFrame({"shard": shard, "source": names, "n": counts, "place": np.cumsum(counts) - counts}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    counts = spark.range(shards).mapInPandas(draw, "shard bigint, source string, n bigint, place bigint")
-    # a row per shard and source, that is one per some hundred blocks
-    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
+    def drawn(seed: int) -> DataFrame:
+        def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = []
+                for shard in b["id"]:
+                    size = min(SLOTS_PER_SHARD, total - shard * SLOTS_PER_SHARD)
+                    counts = np.random.default_rng([seed, shard]).multinomial(size, p)
+                    out.append(pd.DataFrame({"shard": shard, "source": names, "n": counts, "place": np.cumsum(counts) - counts}))
+                if out:
+                    yield pd.concat(out, ignore_index=True)
+
+        return spark.range(shards).mapInPandas(draw, "shard bigint, source string, n bigint, place bigint")
+
+    for _ in range(100):
+        counts = drawn(seed)
+        sums = counts.groupBy("source").agg(F.sum("n").alias("n")).collect()  # a row per source
+        if all(r["n"] <= blocks[r["source"]] * repeats[r["source"]] for r in sums):
+            break
+        seed += 1
+    else:
+        raise ValueError("no draw stays within the caps")
+    # a row per shard and source; ranges of shards first, then the shards of a range
+    counts = counts.withColumn("range", F.floor(F.col("shard") / RANGE))
+    over = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.groupBy("source", "range").agg(F.sum("n").alias("n")).select("source", "range", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
+    before = Window.partitionBy("source", "range").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0").join(base, ["source", "range"])
+    counts = counts.withColumn("first", F.col("first") + F.col("base"))
     rows = counts.select("shard", "source", "place", F.col("first").alias("f"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
     rows = rows.select("shard", "source", (F.col("place") + F.col("i")).alias("ordered"), (F.col("f") + F.col("i")).alias("k"))
     source_key = {s: i for i, s in enumerate(names)}
@@ -138,13 +155,11 @@ def slots(spark: SparkSession, blocks: dict[str, int], share: dict[str, float],
             k = b["k"].to_numpy(np.uint64)
             epoch = k // size
             key = _scramble(epoch * np.uint64(64) + b["source"].map(source_key).to_numpy(np.uint64) + np.uint64(1 << 40) * np.uint64(seed + 1))
-            ok = epoch < b["source"].map(repeats).to_numpy(np.uint64)
             shard = b["shard"].to_numpy(np.uint64)
             here = np.minimum(SLOTS_PER_SHARD, total - b["shard"].to_numpy(np.int64) * SLOTS_PER_SHARD)
             # slots of a source are scattered over the shard
             slot = permute(b["ordered"].to_numpy(), here, _scramble(shard + np.uint64(1 << 50)))
-            out = pd.DataFrame({"shard": b["shard"], "slot": slot, "source": b["source"], "epoch": epoch.astype(np.int64), "block": permute(k % size, size, key)})
-            yield out[ok]
+            yield pd.DataFrame({"shard": b["shard"], "slot": slot, "source": b["source"], "epoch": epoch.astype(np.int64), "block": permute(k % size, size, key)})
 
     return rows.mapInPandas(locate, "shard bigint, slot bigint, source string, epoch bigint, block bigint")
 

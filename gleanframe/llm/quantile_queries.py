@@ -76,6 +76,18 @@ def p6_all_from_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.percentiles(whole, ["part"], SHARES)
 
 
+def p6_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per snapshot the readings, and of how many percentiles the value's true ranks lie beyond the reported error."""
+    rows, found = _readings(spark, sf_dir).select("snapshot_no", F.col("impressions").cast("double").alias("x")), p6_by_snapshot(spark, sf_dir)
+    both = rows.join(found, rows.snapshot_no.eqNullSafe(found.snapshot_no)).drop(rows.snapshot_no)  # a row per snapshot on one side
+    ranks = [r for name in SHARES for r in (F.count_if(F.col("x") < F.col(name)).alias(f"{name}_below"), F.count_if(F.col("x") <= F.col(name)).alias(f"{name}_up_to"))]
+    ranked = both.groupBy("snapshot_no", "n", "rank_error").agg(F.count("*").alias("readings"), *ranks)
+    wanted = {name: F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n"))) for name, p in SHARES.items()}
+    off = [((F.col(f"{k}_below") + 1 > wanted[k] + F.col("rank_error")) | (F.col(f"{k}_up_to") < wanted[k] - F.col("rank_error"))).cast("int") for k in SHARES]
+    wide = F.col("rank_error") > F.ceil(F.lit(Q.EPS) * F.col("n"))
+    return ranked.select("snapshot_no", F.col("readings").alias("n"), sum(off, F.lit(0)).cast("bigint").alias("outside"), (wide | (F.col("n") != F.col("readings"))).alias("wrong"))
+
+
 def queries() -> dict:
     return {
         "p6_percentiles": p6_percentiles,
@@ -83,8 +95,9 @@ def queries() -> dict:
         "p6_by_posting_day": p6_by_posting_day,
         "p6_by_snapshot": p6_by_snapshot,
         "p6_all_from_snapshots": p6_all_from_snapshots,
+        "p6_check": p6_check,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_check": "SELECT snapshot_no, count(*) AS n, 0::BIGINT AS outside, false AS wrong FROM tweet_metrics WHERE impressions >= 0 GROUP BY snapshot_no"}

@@ -9,7 +9,8 @@ use a larger part of ``eps``. Half the largest gap is the summary's proven rank
 carried along and reported, so summaries of days, files or partitions combine at any time.
 
 Summaries are built inside the input partitions before any shuffle, so a hot group sends one
-bounded summary per partition. Merges of many groups run as one sort and a few running sums.
+bounded summary per partition, and are merged in a tree. A summary may be written and merged with
+others later. Merges of many groups run as one sort and a few running sums.
 Null, NaN and excluded values are no measurements; a group without any has no row. Values are
 compared as doubles (whole numbers above 2**53 are rounded).
 """
@@ -21,14 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanframe.session import shuffle_partitions
+
 EPS = 0.001
-#: Parts of ``eps`` that partitions, slots and the final merge may use.
-LEVELS = (0.4, 0.7, 1.0)
-#: Summaries of one group are first merged in this many slots.
-SLOTS = 64
+#: Part of ``eps`` that summaries of partitions may use; the levels of the merge share the rest evenly.
+FIRST = 0.4
+#: Summaries of one group that are merged at once; a group of more goes up a tree, level by level.
+FAN_IN = 16
 _ROWS_HELD = 1_000_000
 SUMMARY = "n bigint, v array<double>, lo array<bigint>, hi array<bigint>"
 
@@ -127,21 +130,27 @@ def _key_fields(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
+def slot_count(spark: SparkSession) -> int:
+    """Slots that the partitions' summaries are dealt to, following the session's own measure of its size."""
+    return max(64, shuffle_partitions(spark))
+
+
 def summarise(df: DataFrame, keys: list[str], value: Column, eps: float = EPS) -> DataFrame:
     """Summaries of ``value`` per ``keys`` and input partition: the keys, ``slot``, and a summary."""
+    slots = slot_count(df.sparkSession)
     rows = df.select(*keys, value.cast("double").alias("value")).where("value is not null and not isnan(value)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        slot = TaskContext.get().partitionId() % SLOTS
+        slot = TaskContext.get().partitionId() % slots
         held: list[pa.RecordBatch] = []
 
         def fold() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             code, row = _codes(t, keys)
             s = Summaries.exact(code, t.column("value").to_numpy())
-            return _out(t, keys, row, s.compressed(eps * LEVELS[0]), slot)
+            return _out(t, keys, row, s.compressed(eps * FIRST), slot)
 
         for b in batches:
             if b.num_rows:
@@ -157,16 +166,17 @@ def summarise(df: DataFrame, keys: list[str], value: Column, eps: float = EPS) -
 
 def regroup(df: DataFrame, keys: list[str], eps: float = EPS) -> DataFrame:
     """Summaries merged inside each partition by new ``keys`` (for keys that a join brought in)."""
+    slots = slot_count(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        slot, held, tuples = TaskContext.get().partitionId() % SLOTS, [], 0
+        slot, held, tuples = TaskContext.get().partitionId() % slots, [], 0
 
         def fold() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             code, row = _codes(t, keys)
-            return _out(t, keys, row, Summaries.from_arrow(t).merged(code).compressed(eps * LEVELS[1]), slot)
+            return _out(t, keys, row, Summaries.from_arrow(t).merged(code).compressed(eps * FIRST), slot)
 
         for b in batches:
             if b.num_rows:
@@ -181,35 +191,54 @@ def regroup(df: DataFrame, keys: list[str], eps: float = EPS) -> DataFrame:
     return df.select(*keys, "n", "v", "lo", "hi").mapInArrow(run, f"{_key_fields(df, keys)}, slot int, {SUMMARY}")
 
 
-def merge(df: DataFrame, keys: list[str], eps: float = EPS, by_slot: bool = True) -> DataFrame:
-    """One summary per group from any summaries; first inside slots, then over the slots.
+def merge(df: DataFrame, keys: list[str], eps: float = EPS) -> DataFrame:
+    """One summary per group from any summaries (``slot`` tells them apart, if there is one), merged in a tree of ``FAN_IN``.
 
-    Groups are streamed in key order, so a task merges all its groups in a few vector steps and holds
-    an Arrow batch and the summaries of one group.
+    Each level sends the summaries of ``FAN_IN`` neighbouring slots of a group to one place, so a hot
+    group is spread over tasks; there are as many levels as the slots need. Summaries
+    read from a file are merged like any others.
     """
-    part, by = LEVELS[1] if by_slot else LEVELS[2], [*keys, "slot"] if by_slot else keys
+    slots = slot_count(df.sparkSession)
+    if "slot" not in df.columns:
+        df = df.withColumn("slot", F.pmod(F.monotonically_increasing_id(), F.lit(slots)).cast("int"))
+    levels = 1
+    while FAN_IN**levels < slots:
+        levels += 1
+    for i in range(1, levels + 1):
+        df = df.withColumn("slot", F.lit(0) if i == levels else F.floor(F.col("slot") / FAN_IN).cast("int"))
+        df = _merged_level(df, keys, eps * (FIRST + (1 - FIRST) * i / levels))
+    return df.drop("slot")
+
+
+def _merged_level(df: DataFrame, keys: list[str], eps: float) -> DataFrame:
+    """One summary per ``keys`` and ``slot``. Groups are streamed in key order; a task holds an Arrow batch and one group."""
+    by = [*keys, "slot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.Table] = []  # the rows of one group, from the batches before
         for b in batches:
             t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            code, _ = _codes(held, by)
-            if code[-1] > 0:  # the last group may go on in the next batch
-                cut = int(np.searchsorted(code, code[-1]))
-                yield fold(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield fold(held)
+            if not t.num_rows:
+                continue
+            ends = t.slice(0, 1) if not held else pa.concat_tables([held[-1].slice(0, 1), t.slice(0, 1)])
+            if held and _codes(ends, by)[0][-1] > 0:  # another group begins
+                yield fold(pa.concat_tables(held))
+                held = []
+            code, _ = _codes(t, by)
+            cut = int(np.searchsorted(code, code[-1]))  # the last group may go on in the next batch
+            if cut:
+                yield fold(pa.concat_tables([*held, t.slice(0, cut)]))
+                held = []
+            held.append(t.slice(cut))
+        if held:
+            yield fold(pa.concat_tables(held))
 
     def fold(t: pa.Table) -> pa.RecordBatch:
         code, row = _codes(t, by)
-        return _out(t, by, row, Summaries.from_arrow(t).merged(code).compressed(eps * part), None)
+        return _out(t, by, row, Summaries.from_arrow(t).merged(code).compressed(eps), None)
 
-    fields = _key_fields(df, keys) + (", slot int" if by_slot else "")
     rows = df.repartition(*[F.col(k) for k in by]).sortWithinPartitions(*by)
-    out = rows.select(*by, "n", "v", "lo", "hi").mapInArrow(run, f"{fields}, {SUMMARY}")
-    return merge(out, keys, eps, by_slot=False) if by_slot else out
+    return rows.select(*by, "n", "v", "lo", "hi").mapInArrow(run, f"{_key_fields(df, keys)}, slot int, {SUMMARY}")
 
 
 def percentiles(df: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:

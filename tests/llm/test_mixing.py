@@ -45,6 +45,16 @@ def test_mix_keeps_caps_and_reaches_shares(spark):
     assert total >= 0.8 * min(4000 * 1.5, 1500 * 3)
 
 
+def test_numbers_in_ranges_and_a_draw_beyond_the_cap(spark, monkeypatch):
+    monkeypatch.setattr(M, "RANGE", 2)
+    monkeypatch.setattr(M, "SIGMAS", 0.0)  # about every second draw is beyond the cap and drawn anew
+    rows = M.slots(spark, {"a": 3000, "b": 1000}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 2}).collect()
+    for s, n, cap in (("a", 3000, 1), ("b", 1000, 2)):
+        used = Counter((r.epoch, r.block) for r in rows if r.source == s)
+        assert set(used.values()) == {1} and max(e for e, _ in used) < cap and max(b for _, b in used) < n
+    assert len({(r.shard, r.slot) for r in rows}) == len(rows) == 4000
+
+
 def test_empty(spark):
     docs = M.written(spark, spark.createDataFrame([], "source string, doc_id bigint, tokens bigint"), "t")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")

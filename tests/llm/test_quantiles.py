@@ -86,3 +86,17 @@ def test_p6_against_sorting(spark, tiny):
     got = p6_percentiles(spark, tiny).collect()
     assert {(r.snapshot_no, r.period_kind, r.period) for r in got} == set(values) and len(got) == len(values)
     _check(got, lambda r: np.array(values[r.snapshot_no, r.period_kind, r.period]), None)
+
+
+def test_a_tree_of_saved_summaries(spark, monkeypatch, tmp_path):
+    """Summaries of days, written and read again, combine in a tree within the reported error."""
+    monkeypatch.setattr(Q, "FAN_IN", 2)
+    days = [spark.range(1000).select((F.rand(d) * 1000 * (d + 1)).alias("v"), F.lit("k").alias("k")).cache() for d in range(5)]
+    for d, rows in enumerate(days):
+        Q.merge(Q.summarise(rows, ["k"], F.col("v")), ["k"]).write.parquet(str(tmp_path / f"{d}"))
+    saved = spark.read.parquet(*[str(tmp_path / f"{d}") for d in range(5)])
+    got = Q.percentiles(Q.merge(saved, ["k"]), ["k"], {"p50": 0.5, "p9": 0.9}).collect()[0]
+    every = sorted(r.v for rows in days for r in rows.collect())
+    assert got.n == 5000
+    for name, p in (("p50", 0.5), ("p9", 0.9)):
+        assert abs(every.index(got[name]) + 1 - round(p * 5000)) <= got.rank_error <= 5
