@@ -174,3 +174,61 @@ def spec_parts(c: Column) -> Column:
         F.when(effort.rlike("^(off|low|high|[0-9]+)$"), effort).alias("effort"),
         F.when(part(2).rlike("^[0-9]+$"), part(2).try_cast("bigint")).alias("cap"),
     )
+
+
+# ---- decisions
+def much_later(later: Column, earlier: Column, days: int) -> Column:
+    """Whether ``later`` lies more than ``days`` days after ``earlier``; unknown times do not."""
+    return F.coalesce(later - earlier > F.expr(f"INTERVAL {int(days)} DAYS"), F.lit(False))
+
+
+def first_true(checks: dict[str, Column], otherwise: str) -> Column:
+    """The name of the first check that holds, in order; one that is null does not hold."""
+    out = F.when(F.lit(False), F.lit(otherwise))
+    for name, check in checks.items():
+        out = out.when(F.coalesce(check, F.lit(False)), F.lit(name))
+    return out.otherwise(F.lit(otherwise))
+
+
+def due(now: Column, last: Column, seconds: int) -> Column:
+    """Whether nothing happened before, or the last time is at least ``seconds`` ago."""
+    return last.isNull() | (F.unix_micros(now.cast("timestamp")) - F.unix_micros(last.cast("timestamp")) >= seconds * 1_000_000)
+
+
+def unless(evidence: Column) -> Column:
+    """True unless the evidence is there: what is false or unknown shuts the gate."""
+    return ~F.coalesce(evidence, F.lit(False))
+
+
+def agree(a: Column, b: Column, missing: int) -> Column:
+    """Whether two values are the same, a missing one read as ``missing``."""
+    return F.coalesce(a, F.lit(missing)) == F.coalesce(b, F.lit(missing))
+
+
+def index_or_zero(index: Column, size: Column) -> Column:
+    """An index of 0 .. size-1; anything else is 0, not moved to the nearer end."""
+    return F.when((index >= 0) & (index < size), index).otherwise(F.lit(0))
+
+
+def marked(text: Column, mark: Column) -> Column:
+    """``text`` with ``mark`` behind it, unless it ends with the mark already; a null text stays null."""
+    bare = F.rtrim(text)
+    return F.when(F.endswith(F.regexp_replace(text, r"\s+$", ""), mark), text).otherwise(F.concat(bare, F.lit(" "), mark))
+
+
+#: What the orientation codes 2 to 8 of a camera ask for.
+_TURNS = {2: "mirror", 3: "turn180", 4: "flip", 5: "transpose", 6: "turn270", 7: "transverse", 8: "turn90"}
+
+
+def orientation(code: Column) -> Column:
+    """The operation that sets a picture upright; other codes need none."""
+    out = F.when(F.lit(False), F.lit("none"))
+    for k, name in _TURNS.items():
+        out = out.when(code == k, F.lit(name))
+    return out.otherwise(F.lit("none"))
+
+
+def prominence(likeness: Column, area: Column, least_likeness: float, least_area: float) -> Column:
+    """``main`` where likeness and area suffice, ``small`` where only the likeness does, else ``other``."""
+    alike = F.coalesce(likeness >= least_likeness, F.lit(False))
+    return F.when(alike & F.coalesce(area >= least_area, F.lit(False)), "main").when(alike, "small").otherwise("other")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanframe.functions.scalars import cosine, hamming
@@ -22,6 +22,28 @@ def latest_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return df.groupBy(key).agg(kept).select(key, *[F.col(f"__kept.`{c}`").alias(c) for c in rest])
 
 
+def membership(rows: DataFrame, ids: DataFrame, key: str, out: str) -> DataFrame:
+    """``rows`` with boolean ``out``: whether the key is among ``ids``; null keys never are."""
+    there = ids.select(key).where(F.col(key).isNotNull()).distinct().withColumn("__there", F.lit(True))
+    return rows.join(there, key, "left").withColumn(out, F.coalesce("__there", F.lit(False))).drop("__there")
+
+
+def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The keys, ``n`` and the exact ``median`` of a whole-number column, from counts per value.
+
+    Values are counted before the shuffle, and the middle is found on running counts: a task goes once
+    over a group's distinct values in order and holds none of them.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("__upto", F.sum("__c").over(w))
+    sums = counts.groupBy(*keys).agg(F.sum("__c").alias("n"))
+    both = counts.alias("c").join(sums.alias("s"), [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
+    at = lambda r: F.min(F.when(F.col("__upto") >= r, F.col(value)))
+    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    return both.groupBy(*[F.col(f"s.{k}").alias(k) for k in keys], "n").agg(((at(lower) + at(upper)) / 2).alias("median"))
+
+
 def undecided(catalog: DataFrame, ledger: DataFrame, key: str, decided: Column, revive: Column | None = None) -> DataFrame:
     """Catalog rows without a decided ledger row, or whose decision ``revive`` takes back.
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanframe.functions.scalars import hamming
+from gleanframe.session import scratch_path
 
 
 def islands(df: DataFrame, by: list[str], order: list[Column], starts: Column, name: str) -> DataFrame:
@@ -136,3 +137,65 @@ def first_per_phase(df: DataFrame, key: str, phase: Column, order: list[Column])
     rest = [c for c in df.columns if c != key]
     kept = F.min_by(F.struct(*rest), F.struct(F.col("phase"), *order)).alias("__kept")
     return df.groupBy(key).agg(kept).select(key, *[F.col(f"__kept.`{c}`").alias(c) for c in rest])
+
+
+def or_else(rows: DataFrame, fallback: DataFrame) -> DataFrame:
+    """``rows``, or ``fallback`` where there are none; the test is a scalar of the plan."""
+    empty = rows.limit(1).agg(F.count("*") == 0).scalar()
+    return rows.unionByName(fallback.where(empty))
+
+
+def positions(rows: DataFrame, order: list[Column], out: str, slices: int = 64) -> DataFrame:
+    """``rows`` with ``out``, the place (from 1) in the order of all rows; ``order`` tells all rows apart.
+
+    Rows are cut into ranges of the order and written with their places inside the range, so that all
+    later steps see the same ranges; the ranges' offsets are added at the end. No task holds all rows.
+    """
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(slices, *order).withColumn("__range", F.spark_partition_id())
+    inside = ranged.withColumn("__in", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    inside.write.parquet(path := scratch_path(spark, "places"))
+    inside = spark.read.schema(inside.schema).parquet(path)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = inside.groupBy("__range").agg(F.max("__in").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    return inside.join(offsets, "__range").withColumn(out, F.col("__base") + F.col("__in")).drop("__range", "__in", "__base")
+
+
+def positional(stored: DataFrame, actual: DataFrame, key: str, windows: tuple[int, int], most_misses: int, slice_: int = 1_000_000) -> DataFrame:
+    """How stored places (``stored``, 1 to the number of rows) lead to actual ones (``actual``).
+
+    The drift is actual minus stored place; the one of the last row found before shifts where a row is
+    looked for. ``found`` tells the window that reaches it: ``near``, ``wide`` or ``far``; a row that is
+    nowhere is ``gone``, but ``kept`` once more than ``most_misses`` rows in a run are missed. The walk runs in
+    slices of places; the last hit of the slices before is carried into each.
+    """
+    near, wide = (w // 2 for w in windows)
+    rows = stored.join(actual, key, "left").withColumn("__drift", F.col("actual") - F.col("stored"))
+    rows = rows.withColumn("__slice", F.floor(F.col("stored") / slice_))
+    hit = F.when(F.col("__drift").isNotNull(), F.struct("stored", F.col("__drift").alias("drift")))
+    over = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
+    carried = rows.groupBy("__slice").agg(F.max(hit).alias("__last")).select("__slice", F.last("__last", ignorenulls=True).over(over).alias("__carried"))
+    before = Window.partitionBy("__slice").orderBy("stored").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__seen", F.last(hit, ignorenulls=True).over(before)).join(carried, "__slice")
+    rows = rows.withColumn("__seen", F.coalesce("__seen", "__carried"))
+    learned, missed = F.coalesce("__seen.drift", F.lit(0)), F.col("__drift").isNull()
+    rows = rows.select(key, "__drift", learned.alias("learned"), F.when(missed, F.col("stored") - F.coalesce("__seen.stored", F.lit(0))).otherwise(0).alias("misses"))
+    off = F.abs(F.col("__drift") - F.col("learned"))
+    found = F.when(missed & (F.col("misses") > most_misses), "kept").when(missed, "gone").when(off <= near, "near").when(off <= wide, "wide").otherwise("far")
+    return rows.select(key, found.alias("found"), "learned", "misses")
+
+
+def curve(rows: DataFrame, key: str, slice_: Column, order: list[Column], value: str) -> DataFrame:
+    """``rows`` with ``gained`` (the value less the one before it, 0 where either is unknown) and ``reading`` (its number), per key in order.
+
+    ``slice_`` ascends with the order: a hot key is walked slice by slice in many tasks, and what the
+    slices before end with is carried into each.
+    """
+    cut = rows.withColumn("__slice", slice_)
+    w = Window.partitionBy(key, "__slice").orderBy(*order)
+    ends = cut.groupBy(key, "__slice").agg(F.count("*").alias("__n"), F.max_by(F.struct(value), F.struct(*order)).alias("__end"))
+    over = Window.partitionBy(key).orderBy("__slice")  # a row per slice of the key
+    ends = ends.select(key, "__slice", F.lag("__end").over(over).alias("__before"), F.coalesce(F.sum("__n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    cut = cut.withColumns({"__lag": F.lag(F.struct(value)).over(w), "__in": F.row_number().over(w)}).join(ends, [key, "__slice"])
+    last = F.coalesce("__lag", "__before")[value]
+    return cut.withColumns({"gained": F.coalesce(F.col(value) - last, F.lit(0)), "reading": (F.col("__base") + F.col("__in")).cast("int")}).drop("__slice", "__lag", "__in", "__before", "__base")

@@ -7,6 +7,7 @@ null-safely in no function here: rows with a null key never match and pass throu
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,10 +55,11 @@ def insert_ignore(state: DataFrame, rows: DataFrame, key: str, order: list[Colum
     return state.unionByName(fresh.select(*state.columns))
 
 
-def update_given(state: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Columns of matching rows replaced where the update gives a value."""
-    given = [c for c in updates.columns if c != key]
-    u = updates.select(key, *[F.col(f"`{c}`").alias(f"__new_{c}") for c in given])
+def update_given(state: DataFrame, updates: DataFrame, key: str, allowed: list[str] | None = None) -> DataFrame:
+    """Columns of matching rows replaced where the update gives a value; only those ``allowed``, if told. Lists, maps and structs become JSON."""
+    given = [c for c in updates.columns if c != key and (allowed is None or c in allowed)]
+    nested = {f.name for f in updates.schema if f.dataType.typeName() in ("array", "map", "struct")}
+    u = updates.select(key, *[(F.to_json(F.col(f"`{c}`")) if c in nested else F.col(f"`{c}`")).alias(f"__new_{c}") for c in given])
     cols = [F.coalesce(F.col(f"__new_{c}"), F.col(f"`{c}`")).alias(c) if c in given else F.col(f"`{c}`") for c in state.columns]
     return state.join(u, key, "left").select(*cols)
 
@@ -67,6 +69,21 @@ def moved(state: DataFrame, column: str, from_: str, to: str) -> DataFrame:
     return state.withColumn(column, F.when(F.col(column) == from_, to).otherwise(F.col(column)))
 
 
+def ensured(state: DataFrame, defaults: DataFrame, key: str) -> DataFrame:
+    """``state``, and the ``defaults`` of the keys that it lacks."""
+    return state.unionByName(defaults.join(state.select(key), key, "left_anti").select(*state.columns))
+
+
+def changed_rows(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """Keys whose row a change altered or removed."""
+    rest = [c for c in before.columns if c != key]
+    same = F.lit(True)
+    for c in rest:
+        same = same & F.col(f"b.`{c}`").eqNullSafe(F.col(f"a.`{c}`"))
+    a = after.withColumn("__there", F.lit(True)).alias("a")
+    return before.alias("b").join(a, F.col(f"b.{key}") == F.col(f"a.{key}"), "left").where(F.col("a.__there").isNull() | ~same).select(f"b.{key}")
+
+
 def without(state: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among ``gone``."""
     return state.join(gone.select(key), key, "left_anti").select(*state.columns)
@@ -117,12 +134,34 @@ class VersionedTable:
         return self.spark.read.parquet(f"{self.path}/{v[-1]}") if v else None
 
     def commit(self, df: DataFrame, keep: int = 2) -> DataFrame:
+        self.commit_by(df.write.parquet, keep)
+        return self.read()
+
+    def commit_by(self, write: Callable[[str], object], keep: int = 2) -> None:
+        """Commit what ``write`` puts below the path that it gets."""
         v = self.versions()
         number = int(v[-1].split("-")[0]) + 1 if v else 0
         name = f"{number:09d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.path}/{name}")
+        write(f"{self.path}/{name}")
         self._fs.create(self._p(f"{self.path}/committed/{name}")).close()
         for old in v[: max(0, len(v) + 1 - keep)]:
             delete_path(self.spark, f"{self.path}/committed/{old}")
             delete_path(self.spark, f"{self.path}/{old}")
+
+
+class VersionedTables:
+    """Several tables that change together: a version holds all of them and one marker commits it.
+
+    A run that dies between two tables leaves the last version in force for both.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, names: tuple[str, ...]):
+        self.names, self._one = names, VersionedTable(spark, path)
+
+    def read(self) -> dict[str, DataFrame] | None:
+        v = self._one.versions()
+        return {n: self._one.spark.read.parquet(f"{self._one.path}/{v[-1]}/{n}") for n in self.names} if v else None
+
+    def commit(self, tables: dict[str, DataFrame], keep: int = 2) -> dict[str, DataFrame]:
+        self._one.commit_by(lambda at: [tables[n].write.parquet(f"{at}/{n}") for n in self.names], keep)
         return self.read()

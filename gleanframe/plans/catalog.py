@@ -91,7 +91,8 @@ def reach_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def median_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = F.hour(F.col("loaded_at").cast("timestamp_ntz") + F.expr("INTERVAL 8 HOURS"))
-    by = _latest(spark, sf_dir).groupBy(hour.alias("hour")).agg(F.count("*").alias("posts"), F.median(F.coalesce("impressions", F.lit(0))).alias("median"))
+    rows = _latest(spark, sf_dir).select(hour.alias("hour"), F.coalesce("impressions", F.lit(0)).alias("seen"))
+    by = lookup.exact_median(rows, ["hour"], "seen").withColumnRenamed("n", "posts")
     return by.withColumn("bar", T.bar(F.col("median")))
 
 
@@ -105,8 +106,9 @@ def ab_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     captions = table(spark, sf_dir, "images").withColumn("post", real_key(F.col("tweet_id"))).where("post is not null")
     captions = captions.groupBy("post").agg(F.min("caption").alias("caption"))
     tagged = F.coalesce(F.contains(F.col("caption"), F.lit("#")), F.lit(False))
-    by = captions.join(_latest(spark, sf_dir), "post").groupBy(tagged.alias("tagged"))
-    return by.agg(F.count("*").alias("posts"), F.median(F.coalesce("impressions", F.lit(0))).alias("median"), (F.count("*") < 10).alias("few"))
+    rows = captions.join(_latest(spark, sf_dir), "post").select(tagged.alias("tagged"), F.coalesce("impressions", F.lit(0)).alias("seen"))
+    by = lookup.exact_median(rows, ["tagged"], "seen")
+    return by.select("tagged", F.col("n").alias("posts"), "median", (F.col("n") < 10).alias("few"))
 
 
 @_query(_LATEST + "SELECT post, impressions FROM latest ORDER BY coalesce(impressions, 0) DESC, loaded_at, post LIMIT 10")
@@ -120,9 +122,9 @@ def top_k_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM tweet_metrics WHERE {_key("tweet_id")} IS NOT NULL WINDOW w AS (PARTITION BY {_key("tweet_id")} ORDER BY loaded_at, metric_id)"""
 )
 def reach_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "tweet_metrics").withColumn("post", real_key(F.col("tweet_id"))).where("post is not null")
-    w = Window.partitionBy("post").orderBy("loaded_at", "metric_id")
-    return m.select("post", "metric_id", F.coalesce(F.col("impressions") - F.lag("impressions").over(w), F.lit(0)).alias("gained"), F.row_number().over(w).alias("reading"))
+    m = table(spark, sf_dir, "tweet_metrics").select(real_key(F.col("tweet_id")).alias("post"), "metric_id", "loaded_at", "impressions").where("post is not null")
+    month = F.year("loaded_at") * 12 + F.month("loaded_at")
+    return sequence.curve(m, "post", month, [F.col("loaded_at"), F.col("metric_id")], "impressions").select("post", "metric_id", "gained", "reading")
 
 
 # ---- decided or not

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gleanframe.plans import catalog, dealt, streams
+from gleanframe.plans import catalog, dealt, library, streams
 
-_PARTS = (dealt, catalog, streams)
+_PARTS = (dealt, catalog, library, streams)
 
 
 def queries() -> dict:

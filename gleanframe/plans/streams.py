@@ -23,7 +23,7 @@ def stream_ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of every user and hour."""
     out = scratch_path(spark, "ingest")
     rows = _stream(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", "ts"))
-    flows.ingest_distinct(rows, ["user_id", "hour"], "ts", "60 days", out)
+    flows.ingest_distinct(rows, ["user_id", "hour"], [F.col("ts"), F.col("event_id")], out)
     return spark.read.parquet(out).select("user_id", F.unix_seconds("hour").alias("hour"))
 
 

@@ -30,25 +30,31 @@ def local_session(cores: int | str = 8, app: str = "gleanframe") -> SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a single machine) a temporary folder is made.
+    Only where the setting is absent on a single machine (tests) a temporary folder is made; on a
+    cluster no other folder is known to be shared, so its absence is an error.
     """
     found = spark.conf.get(SHARED_DIR_CONF, None) or spark.sparkContext.getConf().get(SHARED_DIR_CONF)
     if not found:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError(f"{SHARED_DIR_CONF} names no folder that all executors share")
         found = tempfile.mkdtemp(prefix="gleanframe-")
         spark.conf.set(SHARED_DIR_CONF, found)
     return found
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for a written intermediate table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path for a written intermediate table in the shared folder.
 
-
-def checkpointed(df):
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    Results read such tables lazily, so they stand until the session's file system is closed at the
+    end of the application, which deletes them.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(jpath)
+    fs.deleteOnExit(jpath)
+    fs.delete(jpath, True)
+    return path
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
