@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanframe.functions import external as E
 from gleanframe.functions import scalars as C
 from gleanframe.functions.keys import real_key
 from gleanframe.functions.timestamps import with_instant
@@ -463,6 +464,74 @@ def event_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---- outside decisions, with clients that answer by rule
+def _length_client() -> Callable[[list], list]:
+    def call(batch: list) -> list:
+        return [None if len(x) % 5 == 0 else {"safe": len(x) % 2 == 0, "interesting": True, "score": str(len(x) % 14), "best": len(x) % 9 - 2, "same": len(x) % 3 == 0, "yes": len(x) % 3 == 0} for x in batch]
+
+    return call
+
+
+_ANSWER = "safe boolean, interesting boolean, score string, best int, same boolean, yes boolean"
+
+
+@_query(
+    """WITH d AS (SELECT doc_id, length(text) AS n, text IS NOT NULL AND length(text) % 5 <> 0 AS ok FROM documents)
+SELECT doc_id, coalesce(ok, false) AS ok, coalesce(ok AND n % 2 = 0, false) AS safe, CASE WHEN ok THEN least(10, n % 14) ELSE 0 END AS score,
+  CASE WHEN ok THEN greatest(0, least(2, n % 9 - 2)) ELSE 0 END AS best, CASE WHEN ok THEN n % 3 = 0 ELSE false END AS open_scene, CASE WHEN ok THEN n % 3 = 0 ELSE true END AS closed_scene FROM d"""
+)
+def group_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A client's answers as verdicts: refusing where there is none, score and index kept in range, a scene check that is open or closed."""
+    answer = E.decided(_length_client, F.col("text"), _ANSWER, {"safe": False}, attempts=1)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("answer", answer)
+    v = E.group_verdict(F.col("answer"), F.array(F.lit(1), F.lit(2), F.lit(3)))
+    rows = rows.withColumn("v", v)
+    return rows.select(
+        "doc_id", "v.ok", "v.safe", "v.score", "v.best",
+        E.same_scene(F.col("answer"), False).alias("open_scene"), E.same_scene(F.col("answer"), True).alias("closed_scene"),
+    )
+
+
+@_query(
+    """SELECT doc_id, CASE WHEN text IS NULL THEN true WHEN length(text) < 200 THEN false WHEN length(text) % 5 = 0 THEN true ELSE length(text) % 3 = 0 END AS owner FROM documents"""
+)
+def gate_before_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cheap check decides where it can; only the rest is asked, and lets pass without an answer."""
+    gate = F.when(F.length("text") < 200, F.lit(False))
+    return E.gate_then_ask(table(spark, sf_dir, "documents"), gate, F.col("text"), "owner", _length_client, "yes boolean", {"yes": True}).select("doc_id", "owner")
+
+
+@_query(
+    """SELECT p_partkey, CASE WHEN p_name = p_brand THEN p_name WHEN p_partkey % 5 < 3 THEN [p_name, p_brand, p_type][CAST(p_partkey % 5 AS INTEGER) + 1] ELSE p_name END AS pick FROM part"""
+)
+def picked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The picker's candidate among distinct ones; an index out of range names the first."""
+    candidates = F.array(F.col("p_name"), F.lit(" "), F.col("p_brand"), F.col("p_name"), F.col("p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", E.picked(candidates, (F.col("p_partkey") % 5).cast("int")).alias("pick"))
+
+
+@_query(
+    """WITH t AS (SELECT p_partkey, p_name, unnest([0, 90, 180, 270]) AS turn FROM part), o AS (SELECT p_partkey, list(turn ORDER BY md5(p_name || '/' || turn)) AS turns FROM t GROUP BY 1)
+SELECT p_partkey, array_to_string(turns, ',') AS turns, CASE WHEN p_partkey % 6 BETWEEN 1 AND 4 AND p_partkey % 2 = 0 THEN turns[CAST(p_partkey % 6 AS INTEGER)] ELSE 0 END AS chosen FROM o"""
+)
+def turns_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four turns in an order that follows from the name, and the one behind a confirmed pick."""
+    name, key = F.col("p_name"), F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.array_join(F.transform(E.turn_order(name), lambda x: x.cast("string")), ",").alias("turns"), E.chosen_turn(name, (key % 6).cast("int"), key % 2 == 0).alias("chosen")
+    )
+
+
+@_query(
+    """SELECT id, CASE WHEN phash IS NULL THEN 'rejected' WHEN post_attempts >= 2 THEN 'transient' WHEN caption IS NULL THEN 'rejected' ELSE 'approved' END AS state,
+  CASE WHEN phash IS NULL THEN 'hash' WHEN post_attempts >= 2 THEN 'attempts' WHEN caption IS NULL THEN 'caption' END AS step FROM images"""
+)
+def preparation_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ordered chain of steps that ends a row as rejected, transient or approved at the first that stops it."""
+    steps = [("hash", F.col("phash").isNull(), "rejected"), ("attempts", F.col("post_attempts") >= 2, "transient"), ("caption", F.col("caption").isNull(), "rejected")]
+    return table(spark, sf_dir, "images").withColumn("p", E.prepared(steps)).select("id", "p.state", "p.step")
+
+
 # ---- sinks
 @_query(
     """WITH g AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS best FROM lineitem)

@@ -52,6 +52,12 @@ def scan_folder(spark: SparkSession, path: str, pattern: str = "*.{jpg,jpeg,png,
     return files if with_content else files.drop("content")
 
 
+def first_files(files: DataFrame, n: int, newest: bool = False) -> DataFrame:
+    """The first ``n`` files by path, or the newest ``n``."""
+    order = [F.desc("modificationTime"), F.col("path")] if newest else [F.col("path")]
+    return files.orderBy(*order).limit(n)
+
+
 def rates(spark: SparkSession, path: str, models_field: str = "models") -> DataFrame:
     """A nested JSON table of ``{name: {field: number}}`` as rows ``name``, ``field``, ``value``; a bad file has no rows."""
     text = spark.read.text(path, wholetext=True)
