@@ -53,28 +53,30 @@ def undecided(catalog: DataFrame, ledger: DataFrame, key: str, decided: Column,
     return catalog.join(ledger.where(blocking).select(key), key, "left_anti")
 
 
-def bands(code: Column, near: int) -> Column:
-    """(band number, its bits) of a 64-bit code; codes within ``near`` bits share at least one."""
-    n = near + 1
+def band_pairs(code: Column, near: int) -> Column:
+    """(number of a pair of bands, the pair's bits) of a 64-bit code; codes within ``near`` bits share at least one.
+
+    ``near`` changed bits touch at most ``near`` of ``near + 2`` bands, so two bands are the same. Pairs are
+    twice as wide as single bands, so far fewer codes meet by chance.
+    """
+    n = near + 2
     cuts = [64 * i // n for i in range(n + 1)]
-    parts = []
-    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        bits = F.shiftrightunsigned(F.shiftleft(code, a) if a else code, 64 - (b - a))
-        parts.append(F.struct(F.lit(i).alias("band"), bits.alias("bits")))
-    return F.array(*parts)
+    part = lambda i: F.shiftright(code, 64 - cuts[i + 1]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1).cast("bigint"))
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    return F.array(*[F.struct(F.lit(k).alias("pair"), F.shiftleft(part(i), 32).bitwiseOR(part(j)).alias("bits")) for k, (i, j) in enumerate(pairs)])
 
 
 def near_semi(probe: DataFrame, kept: DataFrame, code: str, near: int) -> DataFrame:
     """Probe rows whose ``code`` lies within ``near`` bits of any kept code.
 
-    Distinct codes meet in shared bands (an equi-join) and are compared there; a code that many rows
+    Distinct codes meet in shared pairs of bands (an equi-join) and are compared there; a code that many rows
     hold is compared once.
     """
     a = probe.select(F.col(code).alias("a")).where("a is not null").distinct()
     b = kept.select(F.col(code).alias("b")).where("b is not null").distinct()
-    a = a.select("a", F.inline(bands(F.col("a"), near)))
-    b = b.select("b", F.inline(bands(F.col("b"), near)))
-    hits = a.join(b, ["band", "bits"]).where(hamming(F.col("a"), F.col("b")) <= near).select(F.col("a").alias(code)).distinct()
+    a = a.select("a", F.inline(band_pairs(F.col("a"), near)))
+    b = b.select("b", F.inline(band_pairs(F.col("b"), near)))
+    hits = a.join(b, ["pair", "bits"]).where(hamming(F.col("a"), F.col("b")) <= near).select(F.col("a").alias(code)).distinct()
     return probe.join(hits, code, "left_semi")
 
 

@@ -9,6 +9,8 @@ sides are aggregated before the range shuffle (a parent to its spans, a referenc
 month), so a key that holds a third of the rows costs as much as any other. The text of the key is
 compared after the hash, and keys that share a hash are told apart, so the result is exact.
 
+There are as many ranges as keep the parents of one at about ``RANGE_BYTES``.
+
 Null keys are not references and not parents; a null month (no arrival time) is never reported.
 """
 
@@ -21,10 +23,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanframe.session import shuffle_partitions
+from gleanframe.session import estimated_bytes, shuffle_partitions
 
 #: Months are numbered from year 0 and take 20 bits; this one stands for "still standing".
 OPEN = (1 << 20) - 1
+#: Bytes of parents that a range may hold, and the most ranges.
+RANGE_BYTES, MOST_RANGES = 256 << 20, 20_000
 
 
 def parent_spans(df: DataFrame, relation: str, key: Column, first: Column, last: Column | None = None) -> DataFrame:
@@ -56,7 +60,8 @@ class _Range:
         self.ends = np.maximum.accumulate((group << 20) | rows["until"].to_numpy(np.int64)) & OPEN
         self.group = group
         shared = self.group_place[1:][self.group_place[1:] == self.group_place[:-1]]
-        self.shared = {(p, k): g for g, (p, k) in enumerate(zip(self.group_place, self.group_key, strict=True)) if p in set(shared)} if len(shared) else {}
+        at = np.flatnonzero(np.isin(self.group_place, shared))
+        self.shared = {(self.group_place[g], self.group_key[g]): g for g in at.tolist()}
 
     def stands(self, place: np.ndarray, key: np.ndarray, month: np.ndarray) -> np.ndarray:
         if not len(self.group_place):
@@ -97,7 +102,8 @@ def orphans(parents: DataFrame, references: DataFrame) -> DataFrame:
     cols = ["relation", "key", "month"]
     p = parents.select(F.lit(False).alias("is_ref"), place.alias("place"), *cols, "until", F.lit(0).cast("bigint").alias("n"))
     r = references.select(F.lit(True).alias("is_ref"), place.alias("place"), *cols, F.lit(0).alias("until"), "n")
-    n = shuffle_partitions(parents.sparkSession)
+    # a task holds the parents of its range, so the ranges follow the parents' size as the planner knows it
+    n = max(shuffle_partitions(parents.sparkSession), min(MOST_RANGES, estimated_bytes(parents) // RANGE_BYTES))
     # signed order of the hash, cut into n equal ranges
     at = F.shiftright(F.shiftrightunsigned(F.col("place").bitwiseXOR(F.lit(-(2**63)).cast("bigint")), 33) * F.lit(n), 31).cast("int")
     both = p.unionByName(r).repartitionById(n, at)

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Days that are filled at once; an entity's own days are bounded by the calendar.
+DAYS_AT_ONCE = 500_000
 _LOW = np.iinfo(np.int64).min
 
 
@@ -98,6 +100,19 @@ def _emit(rows: pd.DataFrame, entity: str, windows: tuple[int, ...], measures: t
     return pd.DataFrame(out)
 
 
+def _emitted(rows: pd.DataFrame, entity: str, windows: tuple[int, ...], measures: tuple[Measure, ...]) -> Iterator[pd.DataFrame]:
+    """:func:`_emit` for as many entities at a time as fill ``DAYS_AT_ONCE`` days, whatever days they span."""
+    starts = _runs(rows[entity])
+    ends = np.append(starts[1:], len(rows))
+    day = rows["__day"].to_numpy(np.int64)
+    length = day[ends - 1] - day[starts] + 1
+    a = 0
+    while a < len(starts):
+        b = a + max(1, int(np.searchsorted(np.cumsum(length[a:]), DAYS_AT_ONCE, side="right")))
+        yield _emit(rows.iloc[starts[a] : ends[b - 1]].reset_index(drop=True), entity, windows, measures)
+        a = b
+
+
 def trailing(
     df: DataFrame, entity: str, day: str, windows: tuple[int, ...], measures: tuple[Measure, ...]
 ) -> DataFrame:
@@ -126,9 +141,9 @@ def trailing(
             cut = _runs(b[entity])[-1]  # the last entity may go on in the next batch
             kept = b.iloc[cut:]
             if cut:
-                yield _emit(b.iloc[:cut].reset_index(drop=True), entity, windows, measures)
+                yield from _emitted(b.iloc[:cut].reset_index(drop=True), entity, windows, measures)
         if kept is not None and len(kept):
-            yield _emit(kept.reset_index(drop=True), entity, windows, measures)
+            yield from _emitted(kept.reset_index(drop=True), entity, windows, measures)
 
     out = rows.mapInPandas(run, ", ".join(fields))
     names = [c for c in out.columns if c not in (entity, "__day")]

@@ -104,12 +104,12 @@ def member_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup') ORDER BY ts DESC, event_id LIMIT 20"""
+    """SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-03') ORDER BY ts DESC, event_id LIMIT 20"""
 )
 def newest_without(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest 20 rows of users outside a set."""
     rows = table(spark, sf_dir, "events")
-    rows = state.without(rows, rows.where("event_type = 'signup'"), "user_id")
+    rows = state.without(rows, rows.where((F.col("event_type") == "signup") & (F.col("ts") < _at("2024-01-03"))), "user_id")
     return rows.orderBy(F.desc("ts"), "event_id").limit(20).select("event_id")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -63,6 +64,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def estimated_bytes(df) -> int:
+    """The size of ``df`` as the planner estimates it from its files; no job runs. 0 where it has no idea (it then names a huge number)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 56 else 0
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -80,6 +87,8 @@ def ship_package(spark: SparkSession) -> None:
     from pathlib import Path
 
     package = Path(__file__).resolve().parent
-    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='gleanframe-ship-')}/gleanframe", "zip", package.parent, package.name)
+    folder = tempfile.mkdtemp(prefix="gleanframe-ship-")  # on the driver only; its file server hands the archive out
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = shutil.make_archive(f"{folder}/gleanframe", "zip", package.parent, package.name)
     spark.sparkContext.addPyFile(archive)
     spark.conf.set("spark.gleanframe.shipped", spark.sparkContext.applicationId)

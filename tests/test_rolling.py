@@ -3,6 +3,7 @@ from datetime import date, timedelta
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gleanframe.operators.rolling import Measure, trailing, two_stack
 
@@ -39,3 +40,13 @@ def test_against_brute_force(spark):
 def test_empty_and_null_days(spark):
     df = spark.createDataFrame([("a", None, 1)], "e string, d date, v bigint")
     assert trailing(df, "e", "d", (7,), (Measure("s", "v"),)).count() == 0
+
+
+def test_a_stray_early_day_is_filled_entity_by_entity(spark, monkeypatch):
+    from gleanframe.operators import rolling
+
+    monkeypatch.setattr(rolling, "DAYS_AT_ONCE", 10)
+    rows = [(e, d, 1) for e in "abc" for d in ("0900-01-01", "0900-02-15", "0900-02-16")]
+    df = spark.createDataFrame(rows, "e string, d string, v bigint").select("e", F.col("d").cast("date").alias("d"), "v")
+    got = rolling.trailing(df, "e", "d", (7,), (rolling.Measure("v", "v"),)).collect()
+    assert len(got) == 3 * 47 and sum(r.v_7 for r in got) == 3 * (7 + 2 + 1)
