@@ -386,8 +386,11 @@ def near_classes(coded: DataFrame, counts: list[int], max_bits: int = MAX_BITS)
 
 
 def _records(df: DataFrame, id_: str, batch: str) -> tuple[DataFrame, list[int]]:
+    """The records in normal spelling, written once, as several joins read them, and the rows of each batch."""
     rows, counts = with_rank(df, batch)
-    return rows.select(F.col(id_).alias("id"), "rank", "sha", "code", F.coalesce("accepted", F.lit(True)).alias("accepted")), counts
+    rows = rows.select(F.col(id_).alias("id"), "rank", "sha", "code", F.coalesce("accepted", F.lit(True)).alias("accepted"))
+    rows.write.parquet(path := scratch_path(df.sparkSession, "records"))
+    return df.sparkSession.read.schema(rows.schema).parquet(path), counts
 
 
 def duplicate_pairs(df: DataFrame, id_: str, batch: str, max_bits: int = MAX_BITS) -> DataFrame:
