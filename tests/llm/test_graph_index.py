@@ -186,3 +186,11 @@ def test_spelling(spark):
     df = spark.createDataFrame([("\t0XFF00FF00FF00FF00\n", " SHA256:" + "Ab" * 32), ("ff00ff00-ff00ff0", "ab" * 31), ("gg00ff00ff00ff00", ""), (None, None)], "p string, s string")
     got = df.select(G.picture_code(F.col("p")), G.file_hash(F.col("s"))).collect()
     assert tuple(got[0]) == (0xFF00FF00FF00FF00 - 2**64, "ab" * 32) and all(tuple(r) == (None, None) for r in got[1:])
+
+
+def test_both_readings_of_a_fingerprint_agree(spark):
+    from gleanframe.functions.scalars import picture_code
+
+    texts = ["0xFF00FF00FF00FF00", " phash: ff00ff00ff00ff00\t", "FF00FF00FF00FF00", "hash=ff00ff00ff00ff00", "0xff", "0x0xff00ff00ff00ff00", None]
+    got = spark.createDataFrame([(x,) for x in texts], "p string").select(picture_code(F.col("p")), G.picture_code(F.col("p"))).collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
